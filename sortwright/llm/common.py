@@ -118,6 +118,25 @@ def map_sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], I
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by the long column ``at``: a
+    batch's last group waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(at).to_numpy()
+        cut = int(np.searchsorted(key, key[-1], "left")) if (key[1:] >= key[:-1]).all() else int(np.flatnonzero(key[1:] != key[:-1])[-1]) + 1
+        if held and (cut or held[-1].column(at)[0].as_py() != key[0]):
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([b.slice(0, cut)])
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class UnionFind:
     """Union-find over 0..n-1 whose roots are the smallest members."""
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortwright.llm import decontam, near_dup, pieces, pii, sharding, toxicity
+from sortwright.llm import decontam, embed_dup, near_dup, pieces, pii, sharding, token_counts, toxicity
 from sortwright.llm.common import table, utf8
 
 
@@ -32,6 +32,16 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.replace_pii(docs, kinds="kinds").withColumn("text_crc32", F.crc32(utf8("text")))
@@ -43,4 +53,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_near_duplicates": near_dup.ORACLE_SQL}
+    return {"op6_near_duplicates": near_dup.ORACLE_SQL, "op7_embedding_duplicates": embed_dup.ORACLE_SQL}
