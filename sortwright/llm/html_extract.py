@@ -9,7 +9,7 @@ probability that an element belongs to the article, given that its parent does.
 
 Decoding goes from the root down: an element is in only if its parent is in, so a
 paragraph in a rejected box can't be chosen and a chosen one has no rejected
-ancestor. Scripts, styles, templates, the head, form controls and comments of
+ancestor. Inline elements without class, id, role or style follow their parent. Scripts, styles, templates, the head, form controls and comments of
 the markup have no text in any case.
 
 The trees are fitted on pages that this module generates (``training_pages``,
@@ -60,6 +60,8 @@ FAMILIES = [
 ]
 FAMILY = {t: k for k, names in enumerate(FAMILIES) for t in names.split()}
 
+MARKS = set("class id role itemprop hidden aria-hidden style".split())
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TOKEN = re.compile(r"[a-z]+")
@@ -394,7 +396,8 @@ def decode(t: Tree, margin: np.ndarray) -> str:
     """Text of the elements chosen from the root down."""
     chosen = [True] * len(t.tag)
     for i in range(1, len(t.tag)):
-        chosen[i] = chosen[t.up[i]] and t.tag[i] not in NEVER and (t.tag[i] in ("html", "body") or margin[i] > 0)
+        follows = t.tag[i] in ("html", "body") or (t.tag[i] in INLINE and not t.attrs[i].keys() & MARKS)
+        chosen[i] = chosen[t.up[i]] and t.tag[i] not in NEVER and (follows or margin[i] > 0)
     parts: list[str] = []
     last = None
     for e, block, s in t.runs:

@@ -1,0 +1,333 @@
+"""Each operator against a brute-force version, and on odd inputs."""
+
+import itertools
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from sortwright.llm import common, decontam, embed_dup, html_extract, language_model, near_dup, pieces, pii, sharding, token_counts, toxicity
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_rows():
+    r = random.Random(4)
+    w = ["".join(r.choices("abcdefgh", k=4)) for _ in range(300)]
+    long = " ".join(r.choices(w, k=20_000))
+    base = [r.choice(w) for _ in range(60)]
+    near = [base[:i] + [r.choice(w)] + base[i + 1 :] for i in (0, 30, 59)]
+    texts = [None, "", "   \n", "one", "Two words", "a b c", "A B\tc", long, long, " ".join(base), *(" ".join(x) for x in near), "▁ x   é <|endoftext|> 😀\x00"]
+    rows = [(i, t, "en", "s", 0 if t is None else len(t)) for i, t in enumerate(texts)]
+    return rows + [(9, " ".join(base), "en", "s", 1), (None, "null id row", None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), DOC).withColumn("digest", F.lit("clash")).withColumn("severity", F.lit("clash"))
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOC)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def components(ids, linked):
+    uf = common.UnionFind(len(ids))
+    for i, j in itertools.combinations(range(len(ids)), 2):
+        if linked(i, j):
+            uf.union(i, j)
+    return [min(ids[k] for k in range(len(ids)) if uf.find(k) == uf.find(i)) for i in range(len(ids))]
+
+
+def jaccard_links(texts, k, num, den):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+    s = [shingles(t) for t in texts]
+    return lambda i, j: bool(s[i] and s[j]) and den * len(s[i] & s[j]) >= num * len(s[i] | s[j])
+
+
+def test_components(spark):
+    r = random.Random(1)
+    for n in (0, 1, 40, 400):
+        edges = [(r.randrange(300), r.randrange(300)) for _ in range(n)] + [(1000 + i, 1001 + i) for i in range(n // 2)]
+        got = {x["id"]: x["component"] for x in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        real = [(a, b) for a, b in edges if a != b]
+        ids = sorted({x for e in real for x in e})
+        uf = common.UnionFind(len(ids))
+        for a, b in real:
+            uf.union(ids.index(a), ids.index(b))
+        assert got == {x: ids[uf.find(i)] for i, x in enumerate(ids)}
+
+
+@pytest.mark.parametrize("cfg", [near_dup.NearDupConfig(), near_dup.FIVE_WORDS, near_dup.NearDupConfig(chunk_docs=2)])
+def test_near_duplicates(spark, docs, odd, none, cfg):
+    near = [(1000 + i, " ".join(w)) for i, w in enumerate(["x%d" % (j if j % 29 != i % 29 else -i) for j in range(60)] for i in range(24))]
+    for df in (docs.select("doc_id", "text").limit(80).union(spark.createDataFrame(near, "doc_id long, text string")), odd.filter("doc_id is not null").dropDuplicates(["doc_id"])):
+        rows = df.select("doc_id", "text").orderBy("doc_id").collect()
+        ids = [r["doc_id"] for r in rows]
+        truth = components(ids, jaccard_links([r["text"] for r in rows], cfg.shingle, cfg.num, cfg.den))
+        got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows), cfg).collect()}
+        assert got == dict(zip(ids, truth))
+    assert near_dup.near_duplicates(none, cfg).count() == 0
+
+
+def test_keep_one(spark, odd):
+    kept = near_dup.keep_one(odd)
+    assert kept.columns == odd.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 4, 5, 7, 9, 13] or len(set(ids)) == len(ids)
+    assert None in ids and 8 not in ids
+
+
+def test_superminhash_estimates_and_varies_less(spark):
+    rng = np.random.default_rng(0)
+    x = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    a, b = x[:200], x[100:]
+    est = [float((s[0] == s[1]).mean()) for s in (near_dup.superminhash([a, b], 120, k) for k in range(60))]
+    j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert abs(np.mean(est) - j) < 0.02
+    assert np.std(est) < 1.15 * math.sqrt(j * (1 - j) / 120)
+
+
+def test_sharding(spark, docs, odd, none):
+    for df in (docs.repartition(7), odd):
+        out = sharding.shard_rows(df, block_rows=16).toPandas()
+        n = df.count()
+        assert len(out) == n and out["shard"].value_counts().reindex(range(8), fill_value=0).pipe(lambda c: c.max() - c.min()) <= 1
+        for _, g in out.groupby("shard"):
+            assert sorted(g["slot"]) == list(range(len(g)))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in sharding.shard_rows(docs).collect():
+        b = text[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"]) == (len(b) + 1, zlib.crc32(b))
+    assert sharding.shard_rows(none).count() == 0
+
+
+def test_communication_matrix_is_hypergeometric():
+    counts = Counter()
+    for seed in range(3000):
+        m = sharding.communication_matrix([3, 5, 0], 2, seed)
+        assert m.sum(axis=1).tolist() == [3, 5, 0] and m.sum(axis=0).tolist() == [4, 4]
+        counts[int(m[0, 0])] += 1
+    for k in range(4):
+        p = math.comb(4, k) * math.comb(4, 3 - k) / math.comb(8, 3)
+        assert abs(counts[k] / 3000 - p) < 0.04
+
+
+def brute_tiles(p, t, k):
+    """Greedy tiling by the definition: always the longest, then the earliest."""
+    mp, mt, out = [False] * len(p), [False] * len(t), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(p)):
+            for j in range(len(t)):
+                n = 0
+                while i + n < len(p) and j + n < len(t) and p[i + n] == t[j + n] and not mp[i + n] and not mt[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < k:
+            return out
+        mp[i : i + n], mt[j : j + n] = [True] * n, [True] * n
+        out.append((i, j, n))
+
+
+def test_tiling_covers_what_brute_force_covers():
+    r = random.Random(2)
+    for _ in range(150):
+        p, t = [r.randrange(4) for _ in range(r.randrange(25))], [r.randrange(4) for _ in range(r.randrange(40))]
+        got = decontam.greedy_string_tiling(p, t, 3)
+        assert sorted(n for _, _, n in got)[::-1] == sorted((n for _, _, n in brute_tiles(p, t, 3)), reverse=True)
+        for i, j, n in got:
+            assert p[i : i + n] == t[j : j + n]
+        used = [x for i, _, n in got for x in range(i, i + n)]
+        assert len(used) == len(set(used))
+
+
+def test_contaminated(spark, docs, odd, none):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = bench.collect()
+    whole = {(d["doc_id"], b["item_id"]) for d in docs.collect() for b in items if b["text"] in d["text"]}
+    pairs = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()}
+    assert whole <= pairs and len(pairs) <= len(whole) + 3
+    assert pairs == {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench, decontam.DecontamConfig(block_bytes=2000)).collect()}
+    w = items[0]["text"].split()
+    moved = spark.createDataFrame([(1, "zz yy " + " ".join(w[len(w) // 2 :] + ["qq", "rr"] + w[: len(w) // 2])), (2, " ".join(w[: len(w) // 2])), (3, None)], "doc_id long, text string")
+    assert {r["doc_id"] for r in decontam.contaminated(moved, bench).collect()} == {1}
+    assert [r["doc_id"] for r in decontam.drop_contaminated(moved, bench).orderBy("doc_id").collect()] == [2, 3]
+    short = spark.createDataFrame([(5, "ONE"), (6, None), (7, "")], "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.contaminated(odd, short).collect()} == {3}
+    assert decontam.contaminated(none, bench).count() == decontam.contaminated(docs, short.limit(0)).count() == 0
+    assert decontam.drop_contaminated(odd, bench).columns == odd.columns
+
+
+def test_pieces(spark, docs, odd, none):
+    for df in (docs, odd):
+        cfg = pieces.default_config()
+        out = pieces.decode(pieces.encode(df, cfg), cfg).collect()
+        assert all(r["decoded"] == r["text"] for r in out)
+        again = {(r["doc_id"], r["text"]): r["piece_ids"] for r in pieces.encode(df.repartition(3), cfg).collect()}
+        assert all(again[r["doc_id"], r["text"]] == r["piece_ids"] for r in out)
+    assert pieces.encode(none).count() == 0
+    assert pieces.encoded_summary(odd).filter("not lossless").count() == 0
+
+
+def test_sampled_segmentations_have_the_lattice_probabilities():
+    lat, word = pieces.lattice(pieces.default_config()), "there"
+    vocab = {b.decode(): i for i, b in enumerate(lat.bytes_of) if b and not 0xFFFFFFFF == i and i not in set(lat.byte_id.tolist()) and b"\xff" not in b}
+    where = {int(i): float(p) for i, p in zip(lat.ids, lat.logp)}
+    found = {}
+
+    def walk(at, ids, lp):
+        if at == len(text):
+            found[tuple(ids)] = lp
+        for end in range(at + 1, len(text) + 1):
+            i = vocab.get(text[at:end])
+            if i in where:
+                walk(end, [*ids, i], lp + where[i])
+
+    text = " " + word
+    walk(0, [], 0.0)
+    z = sum(map(math.exp, found.values()))
+    n = 20_000
+    got = Counter(tuple(x.tolist()) for x in lat.sample([word] * n, np.arange(n), 3))
+    assert set(got) <= set(found)
+    assert max(abs(got[k] / n - math.exp(v) / z) for k, v in found.items()) < 0.012
+
+
+def test_toxicity(spark, docs, odd, none):
+    r = random.Random(3)
+    w = ["".join(r.choices("abcdefgh", k=5)) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 5 == 0
+        words = r.choices(w, k=60) + (r.choices(["vileness", "grubwort"], k=r.randint(1, 6)) if bad else [])
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels[:400] + [(401, None), (None, 1)], "doc_id long, toxic int")
+    out = toxicity.grade(d, l).collect()
+    assert all(x["toxic"] == (x["doc_id"] % 5 == 0) for x in out if x["doc_id"] >= 400)
+    kept = toxicity.drop_toxic(d, l)
+    assert kept.columns == d.columns and kept.count() == 480
+    one = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    assert toxicity.grade(odd, one).filter("severity <> 0 or toxic").count() == 0 or toxicity.fit(odd, one).thresholds == []
+    assert toxicity.drop_toxic(odd, l).columns == odd.columns
+    assert toxicity.grade(none, l).count() == 0
+
+
+def test_pii(spark, docs, odd, none):
+    rows = [(1, "Mail a.b@x.org or A.B@X.ORG, call +1 (269) 555-3296 or (269) 555-3296."), (2, "a.b@x.org; Mrs Anna Smith met Mr John Smith; card 4111 1111 1111 1111; 10.1.2.3"), (3, None), (4, "clean 2024 text 12:30")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(d).collect()}
+    assert out[3] is None and out[4] == rows[3][1]
+    assert not any(x in (out[1] + out[2]).lower() for x in ("a.b@x.org", "555-3296", "smith", "4111 1111", "10.1.2.3"))
+    mails = [s[3] for t in (out[1], out[2]) for s in pii.detect(t) if s[2] == "email"]
+    assert len(set(mails)) == 1
+    phones = [s[3] for s in pii.detect(out[1]) if s[2] == "phone"]
+    assert len(phones) == 2 and len(set(phones)) == 1
+    card = [s[3] for s in pii.detect(out[2]) if s[2] == "card"][0]
+    assert pii.luhn(card) and card[0] == "4"
+    names = [s[3] for s in pii.detect(out[2]) if s[2].startswith("surname")]
+    assert len(names) == 2 and len(set(names)) == 1
+    assert pii.replace_pii(odd).columns == odd.columns
+    assert pii.replace_pii(none).count() == 0
+    many = spark.createDataFrame([(i, f"Mr {a} Xi") for i, a in enumerate("Abe Bob Cal Dan Ed Fay Gus Hal Ian Jon Ken Lee Max Ned Oz Pat".split())], "doc_id long, text string")
+    table = pii.surrogates(many).filter("kind like 'given%'").collect()
+    assert len({r["surr"] for r in table}) == len(table) == 16
+    plain = {r["doc_id"]: r["text"] for r in pii.replace_pii(many).collect()}
+    assert plain == {r["doc_id"]: r["text"] for r in pii.replace_pii(many, pii.PiiConfig(broadcast_rows=0)).collect()}
+    assert len(set(plain.values())) == 16
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(60, 16))
+    x = np.concatenate([base, base[:20] + rng.normal(size=(20, 16)) * 0.12, base[:5], base[:10] * 3])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, []), (502, [0.0] * 16), (503, [float("nan")] * 16), (504, [1.0] * 3), (505, [None] * 16), (None, [1.0] * 16)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = u @ u.T
+    for cfg in (embed_dup.EmbedConfig(), embed_dup.EmbedConfig(chunk=2)):
+        got = {r["vec_id"]: r for r in embed_dup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cfg).collect()}
+        assert [got[i]["n_links"] for i in range(len(x))] == ((cos >= 0.95).sum(axis=1) - 1).tolist()
+        assert [got[i]["component_id"] for i in range(len(x))] == components(list(range(len(x))), lambda i, j: cos[i, j] >= 0.95)
+        assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(500, 506)) and got[None]["component_id"] is None
+    assert embed_dup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_token_counts(spark, docs, odd, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    for df in (docs, odd):
+        for r in df.join(token_counts.token_counts(df.select("doc_id", "text"), path), "doc_id").select("text", "n_tokens", "n_bytes", "over_limit").distinct().collect():
+            t = r["text"] or ""
+            n = len(lib.encode(t, add_special_tokens=False))
+            assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(t.encode()), n > 512)
+    r, alphabet = random.Random(5), [chr(c) for c in [*range(0x250), *range(0x600, 0x660), *range(0x2000, 0x2070), 0x1F600, 0x4E2D]]
+    counter = token_counts.PieceCounter(path, 100)
+    texts = ["".join(r.choice(alphabet) if r.random() < 0.5 else r.choice(" ab's\n1") for _ in range(12)) for _ in range(3000)]
+    assert counter.count(texts) == [len(lib.encode(t, add_special_tokens=False)) for t in texts]
+    assert token_counts.token_counts(none, path).count() == 0
+
+
+@pytest.mark.parametrize("head", [50, 1 << 17])
+def test_language_model(spark, docs, odd, none, head):
+    cfg = language_model.LmConfig(head_words=head, buckets=1 << 12)
+    for df in (docs, odd.dropDuplicates(["doc_id"])):
+        rows = df.select("doc_id", "text").collect()
+        words = {r["doc_id"]: (r["text"] or "").encode().lower().split() + [b""] for r in rows}
+        out = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i in words}
+        c = Counter(w for i, ws in words.items() if not out[i] for w in ws)
+        n, v = sum(c.values()), len(c)
+        got = {r["doc_id"]: r for r in language_model.score(df, cfg).collect()}
+        for i, ws in words.items():
+            assert (got[i]["held_out"], got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (out[i], len(ws), sum(c[w] > 0 for w in ws), n)
+            assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
+        if df is docs and head > 50:
+            assert sum(r["score"] for r in got.values() if r["held_out"]) > sum(r["base_score"] for r in got.values() if r["held_out"])
+    assert language_model.score(none, cfg).count() == 0
+
+
+def test_main_text(spark):
+    forest, maker = html_extract.model(), html_extract.PageMaker(77)
+    right = 0
+    for _ in range(100):
+        page = maker.page()
+        t = html_extract.parse(page)
+        right += html_extract.decode(t, html_extract.labels(t) * 2 - 1) == html_extract.extract([page], forest)[0]
+    assert right >= 90
+    rows = [(1, "u", None), (2, "u", ""), (3, "u", "plain &amp; simple"), (4, "u", "<article><h1>A  title</h1><p>One &lt;two&gt; <b>three</b><br><p>Four.</p></article><footer>&copy; x</footer>"), (5, None, "<p"), (6, "u", "<" * 3000)]
+    out = {r["page_id"]: r for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[1]["text"] == out[2]["text"] == "" and out[3]["text"] == "plain & simple"
+    assert out[4]["text"] == "A title\nOne <two> three\nFour." and out[4]["n_chars"] == len(out[4]["text"])
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert out.columns == [*docs.columns, "piece_ids"]
+    assert 0 < out.count() < docs.count()
+    lat = pieces.lattice(pieces.default_config())
+    for r in out.limit(20).collect():
+        assert lat.decode(r["piece_ids"]) == r["text"]
+    assert pd.Series([r["doc_id"] for r in out.select("doc_id").collect()]).is_unique
