@@ -6,7 +6,7 @@ it stays in whole-stage code generation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -58,28 +58,29 @@ def flag(c: Column, yes: str) -> Column:
 
 @dataclass(frozen=True)
 class KeySpec:
-    """Named fields ``(column, bytes, encoding)`` of a key."""
+    """Named fields ``(column, bytes, encoding)`` of a key; encodings are made
+    when the key is, so a layout can be read without a session."""
 
-    fields: tuple[tuple[str, int, Column], ...]
+    fields: tuple[tuple[str, int, Callable[[], Column]], ...]
 
     @property
     def width(self) -> int:
         return sum(n for _, n, _ in self.fields)
 
     def key(self) -> Column:
-        return F.concat(*(e for _, _, e in self.fields))
+        return F.concat(*(e() for _, _, e in self.fields))
 
 
 def lineitem_spec() -> KeySpec:
     return KeySpec((
-        ("l_returnflag", 1, char1("l_returnflag")), ("l_linestatus", 1, char1("l_linestatus")), ("l_shipdate", 4, date("l_shipdate")),
-        ("l_extendedprice", 8, decimal("l_extendedprice")), ("l_discount", 8, decimal("l_discount")), ("l_tax", 8, decimal("l_tax")), ("l_quantity", 8, decimal("l_quantity")),
-        ("l_orderkey", 8, unsigned("l_orderkey", 8)), ("l_partkey", 4, unsigned("l_partkey", 4)), ("l_suppkey", 4, unsigned("l_suppkey", 4)), ("l_linenumber", 4, unsigned("l_linenumber", 4)),
+        ("l_returnflag", 1, lambda: char1("l_returnflag")), ("l_linestatus", 1, lambda: char1("l_linestatus")), ("l_shipdate", 4, lambda: date("l_shipdate")),
+        ("l_extendedprice", 8, lambda: decimal("l_extendedprice")), ("l_discount", 8, lambda: decimal("l_discount")), ("l_tax", 8, lambda: decimal("l_tax")), ("l_quantity", 8, lambda: decimal("l_quantity")),
+        ("l_orderkey", 8, lambda: unsigned("l_orderkey", 8)), ("l_partkey", 4, lambda: unsigned("l_partkey", 4)), ("l_suppkey", 4, lambda: unsigned("l_suppkey", 4)), ("l_linenumber", 4, lambda: unsigned("l_linenumber", 4)),
     ))
 
 
 def events_spec() -> KeySpec:
-    return KeySpec((("user_id", 8, unsigned("user_id", 8)), ("ts", 8, timestamp("ts")), ("event_id", 8, unsigned("event_id", 8))))
+    return KeySpec((("user_id", 8, lambda: unsigned("user_id", 8)), ("ts", 8, lambda: timestamp("ts")), ("event_id", 8, lambda: unsigned("event_id", 8))))
 
 
 #: key bytes, payload bytes
