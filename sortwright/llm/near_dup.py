@@ -17,7 +17,8 @@
 
 Defined cases: null or word-less text has an empty set, links with nothing and
 is its own component; fewer words than a shingle give the whole sequence as the
-one shingle; rows of one ``doc_id`` are one node; a null ``doc_id`` gets null
+one shingle; rows of one ``doc_id`` that have words are one node, which all of
+their texts link; a null ``doc_id`` gets null
 ``component_id`` and ``kept``; an empty table gives an empty result. Shingles
 are compared as 64-bit hashes, sets as 128-bit digests.
 """
@@ -191,6 +192,11 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     (columns ``doc_id`` and ``text``; others are ignored)."""
     sigs = materialize(signatures(docs, cfg), "sigs")
     classes = materialize(sigs.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    # texts of one doc_id: their classes are linked (no rows where doc_id is unique)
+    sane = sigs.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "digest")
+    several = sane.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("doc_id")
+    of_id = sane.join(several, "doc_id").join(classes.select("digest", "rid"), "digest").select("doc_id", "rid")
+    same_id = of_id.join(of_id.groupBy("doc_id").agg(F.min("rid").alias("least")), "doc_id").select(F.col("rid").alias("a"), F.col("least").alias("b"))
     bands = classes.select("rid", "n", F.explode("bands").alias("key"))
     heads = bands.groupBy("key").agg(F.min("rid").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
     members = materialize(bands.join(heads, "key").select("leader", "rid", "n").distinct(), "members")
@@ -205,7 +211,7 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
         if group.num_rows > 1:
             yield from _edges(forest(group["rid"].to_numpy(), shingle_sets(group["text"].to_pylist(), cfg.shingle), cfg))
 
-    edges = materialize(map_sorted_groups(texts.join(seats, "rid").select("leader", "chunk", "rid", "text"), ["leader", "chunk"], link, "a long, b long"), "links")
+    edges = materialize(map_sorted_groups(texts.join(seats, "rid").select("leader", "chunk", "rid", "text"), ["leader", "chunk"], link, "a long, b long").union(same_id), "links")
     comp = materialize(connected_components(edges), "comp")
 
     # leaders with several chunks: what is outside the main component meets all other chunks
@@ -227,7 +233,6 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     of_class = classes.select("digest", "rid").join(comp.withColumnRenamed("id", "rid"), "rid", "left").select("digest", F.coalesce("component", "rid").alias("component"))
     out = sigs.drop("bands").join(of_class, "digest", "left")
     comp_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    # one node for each doc_id: rows of one doc_id with several texts take the least of their components
     return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), (F.col("doc_id") == comp_id).alias("kept"))
 
 

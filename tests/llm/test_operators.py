@@ -85,6 +85,13 @@ def test_near_duplicates(spark, docs, odd, none, cfg):
     assert near_dup.near_duplicates(none, cfg).count() == 0
 
 
+def test_texts_of_one_doc_id_are_one_node(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (2, a), (1, b), (3, b + " more"), (3, c), (0, c), (4, d), (4, d), (5, None), (5, d)]
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 0), (3, 0), (4, 4), (4, 4), (5, 4), (5, 5)]
+
+
 def test_keep_one(spark, odd):
     kept = near_dup.keep_one(odd)
     assert kept.columns == odd.columns
