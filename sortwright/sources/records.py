@@ -14,16 +14,38 @@ def _size(spark: SparkSession, path: str) -> int:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
+def _whole_records(spark: SparkSession, path: str, width: int, n: int, block_bytes: int = 32 << 20) -> DataFrame:
+    """``rid, rec``: the first ``n`` records of one file. Tasks read ranges of
+    about ``block_bytes`` themselves, so no file is held whole."""
+    per = max(1, block_bytes // width)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, where = fs.FileSystem.from_uri(path)
+        with store.open_input_file(where) as f:
+            for b in batches:
+                for block in b.column(0).to_pylist():
+                    first = block * per
+                    count = min(per, n - first)
+                    data = f.read_at(count * width, first * width)
+                    for lo in range(0, count, 10_000):
+                        hi = min(count, lo + 10_000)
+                        yield pa.RecordBatch.from_arrays([pa.array(range(first + lo, first + hi), pa.int64()), pa.array([data[i * width : (i + 1) * width] for i in range(lo, hi)], pa.binary())], names=["rid", "rec"])
+
+    blocks = -(-n // per)
+    return spark.range(0, blocks, 1, max(1, min(blocks, 100_000))).mapInArrow(read, "rid long, rec binary")
+
+
 def read_records(spark: SparkSession, path: str, key_size: int, value_size: int, on_partial: str = "error") -> DataFrame:
     """``rid, key, payload``; ``rid`` is the record's place in the file. A
-    partial last record is an error, or dropped with ``on_partial="drop"``."""
+    partial last record is an error, or dropped with ``on_partial="drop"``; such
+    a file needs a URI that pyarrow's file systems know."""
     width, size = key_size + value_size, _size(spark, path)
     if size % width and on_partial != "drop":
         raise ValueError(f"{path} has {size} bytes, no multiple of {width}")
     if size % width:
-        # whole records by place, in ranges that executors read themselves
-        whole = spark.read.format("binaryFile").load(path).select(F.explode(F.sequence(F.lit(0), F.lit(size // width - 1))).alias("rid"), "content") if size >= width else spark.createDataFrame([], "rid int, content binary")
-        df = whole.select(F.col("rid").cast("bigint").alias("rid"), F.substring("content", F.col("rid") * width + 1, F.lit(width)).alias("rec"))
+        df = _whole_records(spark, path, width, size // width)
     else:
         rdd = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda x: (x[1], x[0]))
         df = spark.createDataFrame(rdd, "rid long, rec binary")

@@ -66,7 +66,10 @@ def test_record_files(spark, tmp_path):
     records.write_records(df.orderBy("key"), f"file://{tmp_path}/out")
     back = records.read_records(spark, f"file://{tmp_path}/out", 4, 6)
     assert sorted(map(tuple, back.select("key", "payload").collect())) == sorted(map(tuple, df.collect()))
-    (tmp_path / "odd").write_bytes(b"x" * 25)
+    (tmp_path / "odd").write_bytes(bytes(range(25)))
     with pytest.raises(ValueError):
         records.read_records(spark, f"file://{tmp_path}/odd", 4, 6)
     assert records.read_records(spark, f"file://{tmp_path}/odd", 4, 6, on_partial="drop").count() == 2
+    odd = records.read_records(spark, f"file://{tmp_path}/odd", 4, 6, on_partial="drop").orderBy("rid").collect()
+    raw = (tmp_path / "odd").read_bytes()
+    assert [(r["rid"], bytes(r["key"] + r["payload"])) for r in odd] == [(i, raw[10 * i : 10 * i + 10]) for i in range(2)]
