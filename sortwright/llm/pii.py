@@ -5,7 +5,9 @@
 2. Every entity gets a surrogate from a keyed hash: same kind, length, script,
    gender and format. The collision check looks for entities of one kind that
    share a surrogate and for surrogates that are entities of the corpus
-   themselves; the losers draw again until all are distinct.
+   themselves; the losers draw again until all are distinct. Later draws may be
+   longer or leave their prefix or range, so that a crowded kind has room; only IP
+   addresses stay within the 2^32 there are.
 3. A second pass over whole texts rewrites them. Surrogates of the first draw
    need no lookup; the redrawn ones are broadcast while they number at most
    ``broadcast_rows``, and beyond it are joined to the documents by text digest.
@@ -173,20 +175,26 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
         local, _, domain = canon.partition("@")
         labels = domain.split(".")
         mapped = [x if x == "example" or i == len(labels) - 1 else Draw(key, "domain", ".".join(labels[i:])).like(x) for i, x in enumerate(labels)]
-        return f"{d.like(local)}@{'.'.join(mapped)}"
+        more = attempt // 4
+        return f"{d.like(local)[: 64 - more]}{''.join(d.of(LOWER) for _ in range(more))}@{'.'.join(mapped)}"
     if kind == "phone":
         if len(canon) == 10:
             return d.of("23456789") + d.like("00") + d.of("23456789") + d.like("000000")
-        return canon[:2] + d.like("0" * (len(canon) - 2))
+        kept = max(0, 2 - attempt // 4)
+        return canon[:kept] + d.like("0" * (len(canon) - kept)) + d.like("0" * (attempt // 16))
     if kind == "ssn":
-        return f"{1 + d.below(665):03d}{1 + d.below(99):02d}{1 + d.below(9999):04d}"
+        return f"{1 + d.below(665):03d}{1 + d.below(99):02d}{1 + d.below(9999):04d}{d.like("0" * (attempt // 16))}"
     if kind == "card":
-        body = canon[0] + d.like("0" * (len(canon) - 2))
+        body = canon[0] + d.like("0" * (len(canon) - 2 + attempt // 16))
         valid = [c for c in DIGIT if luhn(body + c) == luhn(canon)]
         return body + d.of(valid)
     if kind == "ip":
         a, b, _, _ = (int(x) for x in canon.split("."))
-        if a in (10, 127):
+        if attempt >= 4 and ((a, b) in ((192, 168), (169, 254)) or a in (127, 172)):  # a small range widens to a large private one, then to all
+            a = 10
+        if attempt >= 16:
+            head = f"{d.below(256)}.{d.below(256)}"
+        elif a in (10, 127):
             head = f"{a}.{d.below(256)}"
         elif (a, b) in ((192, 168), (169, 254)):
             head = f"{a}.{b}"
@@ -196,18 +204,19 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
             head = f"{d.of([str(x) for x in range(1, 224) if x not in (10, 127, 169, 172, 192)])}.{d.below(256)}"
         return f"{head}.{d.below(256)}.{1 + d.below(254)}"
     if kind == "aws":
-        return canon[:4] + "".join(d.of(DIGIT + UPPER) for _ in canon[4:])
+        return canon[:4] + "".join(d.of(DIGIT + UPPER) for _ in range(len(canon) - 4 + attempt // 16))
     if kind == "secret":
-        return "".join(d.of(HEX) for _ in canon) if set(canon) <= set(HEX) else d.like(canon)
+        chars = HEX if set(canon) <= set(HEX) else LOWER
+        return ("".join(d.of(HEX) for _ in canon) if chars == HEX else d.like(canon)) + "".join(d.of(chars) for _ in range(attempt // 4))
     if kind == "iban":
-        body = d.like(canon[4:])
+        body = d.like(canon[4:]) + d.like("0" * (attempt // 16))
         check = 98 - int("".join(str(int(c, 36)) for c in body + canon[:2] + "00")) % 97
         return f"{canon[:2]}{check:02d}{body}"
     kind, *rest = kind.split(" ")
     if kind == "given":
         pool = _GIVEN.get(rest[1], _GIVEN["LATIN"])[rest[0]].split(" ")
         # beyond the pool's size compounds keep names distinct
-        return "-".join([d.of(pool)] + [d.of(pool) for _ in range(min(attempt // 4, 3))])
+        return "-".join([d.of(pool)] + [d.of(pool) for _ in range(attempt // 4)])
     parts = _SYLLABLES.get(rest[0], _SYLLABLES["LATIN"]).split(" ")
     return "".join(d.of(parts) for _ in range(3 + attempt // 8))
 
@@ -216,10 +225,10 @@ def render(kind: str, original: str, canon: str, new: str) -> str:
     """``new`` in the format that ``original`` has."""
     if kind in ("phone", "ssn", "card"):
         digits = iter(_digits(original)[: len(_digits(original)) - len(canon)] + new)
-        return "".join(next(digits) if c.isdigit() else c for c in original)
+        return "".join([next(digits) if c.isdigit() else c for c in original]) + "".join(digits)
     if kind == "iban":
         chars = iter(new)
-        return "".join(c if c == " " else next(chars) for c in original)
+        return "".join([c if c == " " else next(chars) for c in original]) + "".join(chars)
     if kind.startswith(("given", "surname")):
         return new.upper() if original.isupper() and len(original) > 1 else "-".join(x.capitalize() for x in new.split("-")) if original[0].isupper() else new
     if kind == "email" and original.isupper():

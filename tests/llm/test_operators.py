@@ -262,6 +262,22 @@ def test_pii(spark, docs, odd, none):
     assert len(set(plain.values())) == 16
 
 
+def test_pii_surrogates_widen_until_distinct(spark):
+    rows = [(i, f"{c}@example.com") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")] + [(30, "_@example.com")]
+    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(out.values())) == len(rows) and not set(out.values()) & {t for _, t in rows}
+    crowded = {"given m GREEK": [f"όνομα{i}" for i in range(600)], "given f CYRILLIC": [f"имя{i}" for i in range(5000)], "ip": [f"192.168.{i}.{j}" for i in range(256) for j in range(1, 255, 2)], "phone": [f"44{i:06d}" for i in range(0, 10**6, 40)]}
+    for kind, canons in crowded.items():
+        held = {}
+        for c in canons:
+            at = next(a for a in range(50) if (s := pii.surrogate(kind, c, b"k", a)) not in held)
+            held[pii.surrogate(kind, c, b"k", at)] = c
+        assert len(held) == len(canons)
+    for kind, canon in (("ssn", "123456789"), ("card", "4111111111111111"), ("aws", "AKIA" + "A" * 16), ("iban", "DE89370400440532013000"), ("secret", "0" * 16)):
+        assert len(pii.surrogate(kind, canon, b"k", 49)) > len(pii.surrogate(kind, canon, b"k", 0)) == len(canon)
+    assert pii.render("phone", "+44 12 34 56", "44123456", "987654321") == "+98 76 54 321"
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
