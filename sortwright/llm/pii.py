@@ -56,7 +56,8 @@ _PHONE = re.compile(r"(?<![\w+])(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _CARD = re.compile(r"(?<![\w+.-])(?:[3-6]\d{12,18}|[3-6]\d{3}([ -])\d{4}\1\d{4}\1\d{4}|3\d{3}([ -])\d{6}\2\d{5})(?!\w)")
 _AWS = re.compile(r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)")
-_SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|api[_-]?key|passwo?r?d|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_\-/+=.]{16,128})")
+# the whole value, however long; short ones must hold a digit (see _is_secret)
+_SECRET = re.compile(r"(?i)(?<![a-z])(?:(?:token|secret|api[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_\-/+=.]{8,})|passwo?r?d[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>,;]{6,}))")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 
 # fixed values: forms of address by gender
@@ -82,9 +83,16 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
 
+def _is_secret(value: str, password: bool) -> bool:
+    """Values of 16 characters and more, and shorter ones that no word looks
+    like: with a digit, and beside ``password`` only, without a letter."""
+    letter, digit = any(map(str.isalpha, value)), any(map(str.isdigit, value))
+    return (letter or digit) and (len(value) >= 16 or digit and (letter or password))
+
+
 def detect(text: str) -> list[Span]:
     """Entities in order, none overlapping another; of overlapping finds the
-    kind tried first stays."""
+    kind tried first stays, but a secret stays whole."""
     found: list[Span] = []
 
     def add(lo: int, hi: int, kind: str, canon: str) -> None:
@@ -125,7 +133,14 @@ def detect(text: str) -> list[Span]:
             add(m.start(), m.end(), "iban", m[0].replace(" ", ""))
     if "=" in text or ":" in text:
         for m in _SECRET.finditer(text):
-            add(m.start(1), m.end(1), "secret", m[1])
+            value = m[m.lastindex].rstrip(".")
+            lo = m.start(m.lastindex)
+            hi = lo + len(value)
+            if len(value) >= 6 and _is_secret(value, m.lastindex == 2):
+                # what was found strictly inside the value is part of it
+                if not any(a <= lo and hi <= b for a, b, _, _ in found) and all(lo <= a and b <= hi for a, b, _, _ in found if a < hi and lo < b):
+                    found[:] = [x for x in found if x[1] <= lo or x[0] >= hi]
+                add(lo, hi, "secret", value)
     for m in _NAME.finditer(text) if _ADDRESSED.search(text) else ():
         kind = "m" if m[1] in _MALE else "f"
         last = 3 if m[3] else 2

@@ -278,6 +278,15 @@ def test_pii_surrogates_widen_until_distinct(spark):
     assert pii.render("phone", "+44 12 34 56", "44123456", "987654321") == "+98 76 54 321"
 
 
+def test_pii_secrets_are_replaced_whole():
+    for head, value in (('token = "', "aB3_" * 75 + "xyz"), ("secret: ", "q7" * 65), ("password: ", "hunter2"), ("passwd=", "P@ssw0rd!"), ("password: ", "123456"), ("api_key=", "k3y-0123"), ("token: ", "Ab1/10.20.30.40/" + "c" * 20)):
+        text = f"{head}{value} end"
+        assert [(text[lo:hi], kind) for lo, hi, kind, _ in pii.detect(text)] == [(value, "secret")]
+        out = pii.rewrite(text, b"k", {})[0]
+        assert value[-4:] not in out and out.startswith(head) and out.endswith(" end")
+    assert not any(map(pii.detect, ("password: required", "the token: a function", "auth: ------------------------", "secret = something.")))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
