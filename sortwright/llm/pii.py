@@ -50,7 +50,7 @@ class PiiConfig:
 
 _AT = re.compile(r"@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+\-]{1,64}\Z")
-_DIGIT = re.compile(r"[0-9]{2}")
+_DIGIT = re.compile(r"[0-9]\.?[0-9]")
 _IP = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
 _PHONE = re.compile(r"(?<![\w+])(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+.-])(?:\+1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
@@ -106,7 +106,7 @@ def detect(text: str) -> list[Span]:
                 add(lo, m.end(), "email", text[lo : m.end()].lower())
     for m in _AWS.finditer(text) if "AKIA" in text or "ASIA" in text else ():
         add(m.start(), m.end(), "aws", m[0])
-    near: list[list[int]] = []  # only what is near two digits can be one of these
+    near: list[list[int]] = []  # only what is near two digits, or digit, dot, digit, can be one of these
     for m in _DIGIT.finditer(text):
         if near and m.start() - 64 <= near[-1][1]:
             near[-1][1] = m.end() + 64

@@ -287,6 +287,11 @@ def test_pii_secrets_are_replaced_whole():
     assert not any(map(pii.detect, ("password: required", "the token: a function", "auth: ------------------------", "secret = something.")))
 
 
+def test_pii_finds_addresses_of_single_digits():
+    for ip in ("8.8.8.8", "1.1.1.1", "9.9.9.10"):
+        assert [s[2:] for s in pii.detect("x " * 90 + f"ask {ip}, or" + " y" * 90)] == [("ip", ip)]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
