@@ -7,9 +7,10 @@
    step). Several rotations from different starts give one long code.
 3. The code is cut into substrings, each the key of one Hamming table. Their
    width follows log2 of the number of classes, and their number the chance that
-   a pair just at the threshold shares one (``miss``).
+   a pair just at the threshold shares none (``miss``), measured on pairs made of
+   the sample. Centring is left out where that is cheaper.
 4. Narrow rows (key, id, code) meet in the tables; classes that have a partner
-   within ``radius`` of the whole code stay, and only these go on with their
+   within ``radius`` of the code's first bits stay, and only these go on with their
    vectors. A table entry beyond ``chunk`` rows is cut into chunks and the chunks
    meet pairwise, so every pair of the entry is compared in a task of bounded size.
 5. The original vectors rerank: cosine in double precision decides. A pair that
@@ -47,6 +48,10 @@ class EmbedConfig:
     slack: float = 6.0
 
 
+CODE_BITS = 1024  # narrow rows carry this much of the code, however many tables there are
+MOST_TABLES = 1 << 14
+
+
 @dataclass
 class Codes:
     """``planes`` [dim, bits] after centring; ``tables`` substrings of ``width``."""
@@ -62,7 +67,7 @@ class Codes:
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         bits = (unit - self.mean) @ self.planes > 0
         keys = bits.reshape(len(x), self.tables, self.width) @ (1 << np.arange(self.width, dtype=np.int64))
-        packed = np.packbits(bits, axis=1)
+        packed = np.packbits(bits[:, :CODE_BITS], axis=1)
         return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))), keys
 
 
@@ -76,28 +81,67 @@ def learn_rotation(x: np.ndarray, rounds: int, rng: np.random.Generator) -> np.n
     return r
 
 
+def _at_threshold(sample: np.ndarray, threshold: float, rng: np.random.Generator) -> np.ndarray:
+    """For each row a unit vector whose cosine with it is the threshold."""
+    side = rng.normal(size=sample.shape)
+    side -= (side * sample).sum(axis=1, keepdims=True) * sample
+    side /= np.maximum(1e-300, np.linalg.norm(side, axis=1, keepdims=True))
+    return threshold * sample + math.sqrt(1 - threshold**2) * side
+
+
+def _tables(agree: np.ndarray, width: int, miss: float) -> int:
+    """How many tables let pairs, of these shares of equal bits, share no key
+    with mean chance ``miss``."""
+    alone = np.log1p(-np.minimum(agree**width, 1 - 1e-9))
+    need = lambda t: np.exp(t * alone).mean() > miss
+    high = 4
+    while need(high) and high < MOST_TABLES:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        low, high = ((low + high) // 2, high) if need((low + high) // 2) else (low, (low + high) // 2)
+    return high
+
+
 def learn_codes(sample: np.ndarray, n: int, cfg: EmbedConfig) -> Codes:
-    """``sample``: unit vectors; ``n``: how many vectors the tables will hold."""
+    """``sample``: unit vectors; ``n``: how many vectors the tables will hold.
+    Centring gives even codes, but widens the angle of near pairs where vectors
+    share a direction; of codes with and without it the cheaper ones are taken,
+    each with the tables that the sample's own pairs at the threshold need."""
     dim = sample.shape[1]
-    agree = 1 - math.acos(cfg.threshold) / math.pi
     width = min(24, max(6, int(math.log2(max(n, 2))) - 2))
-    tables = max(4, math.ceil(math.log(cfg.miss) / math.log(1 - agree**width)))
-    bits = width * tables
     rng = np.random.default_rng(cfg.seed)
-    mean = sample.mean(axis=0)
-    x = sample - mean
-    # principal directions, whitened a little, so that no bit follows one strong direction alone
-    _, s, v = np.linalg.svd(x, full_matrices=False) if len(x) > 1 else (None, np.ones(min(1, dim)), np.eye(dim)[:1])
-    basis = v.T if len(v) == dim else np.eye(dim)
-    planes = []
-    while sum(p.shape[1] for p in planes) < bits:
-        planes.append(basis @ learn_rotation(x @ basis, cfg.rounds, rng))
-    planes = np.concatenate(planes, axis=1)[:, :bits]
-    # the bits that differ in a pair at the threshold, with slack; the sample tells how far planes depart from random ones
-    near = sample + rng.normal(size=sample.shape) * math.sqrt((1 / cfg.threshold**2 - 1) / dim)
-    near /= np.linalg.norm(near, axis=1, keepdims=True)
-    differ = (((sample - mean) @ planes > 0) != ((near - mean) @ planes > 0)).sum(axis=1)
-    radius = int(min(bits, max(differ.max(initial=0), differ.mean() + cfg.slack * (differ.std() + 1)))) if len(sample) else bits
+    some = np.tile(sample, (math.ceil(1024 / max(1, len(sample))), 1))
+    near = _at_threshold(some, cfg.threshold, rng)
+    angle = 1 - math.acos(cfg.threshold) / math.pi  # the agreement of random planes through the origin
+    least = max(4, math.ceil(math.log(cfg.miss) / math.log(1 - angle**width)))
+    best = None
+    for mean in (sample.mean(axis=0), np.zeros(dim)):
+        x = sample - mean
+        _, s, v = np.linalg.svd(x, full_matrices=False) if len(x) > 1 else (None, np.ones(min(1, dim)), np.eye(dim)[:1])
+        basis = v.T if len(v) == dim else np.eye(dim)
+
+        def grow(planes: list[np.ndarray], bits: int, x: np.ndarray = x, basis: np.ndarray = basis) -> list[np.ndarray]:
+            while sum(p.shape[1] for p in planes) < bits:
+                planes.append(basis @ learn_rotation(x @ basis, cfg.rounds, rng))
+            return planes
+
+        planes = grow([], 1024)
+        p = np.concatenate(planes, axis=1)
+        left, right = (some - mean) @ p > 0, (near - mean) @ p > 0
+        tables = max(least, _tables((left == right).mean(axis=1), width, cfg.miss / 2))
+        # the chance that two vectors share a key, from the sample
+        keys = left[: len(sample), : p.shape[1] // width * width].reshape(len(sample), -1, width) @ (1 << np.arange(width))
+        shared = np.mean([((c := np.unique(k, return_counts=True)[1]) * (c - 1)).sum() for k in keys.T]) / max(1, len(sample) * (len(sample) - 1))
+        cost = tables * (1 + tables / 100 + n * shared / 16)
+        if best is None or cost < best[0]:
+            best = cost, mean, grow, planes, tables
+    _, mean, grow, planes, tables = best
+    planes = np.concatenate(grow(planes, width * tables), axis=1)[:, : width * tables]
+    # the bits that differ in a pair at the threshold, with slack
+    code = planes[:, :CODE_BITS]
+    differ = (((some - mean) @ code > 0) != ((near - mean) @ code > 0)).sum(axis=1)
+    radius = int(min(code.shape[1], max(differ.max(initial=0), differ.mean() + cfg.slack * (differ.std() + 1)))) if len(sample) else code.shape[1]
     return Codes(mean, planes, width, tables, radius)
 
 

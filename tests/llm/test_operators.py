@@ -307,6 +307,20 @@ def test_embeddings(spark):
     assert embed_dup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("shared", [0.0, 0.7, 0.9])
+def test_embedding_tables_hold_where_vectors_share_a_direction(shared):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64)) / 8 * math.sqrt(1 - shared**2) + shared * np.eye(64)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    near = 0.951 * x + math.sqrt(1 - 0.951**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    codes = embed_dup.learn_codes(x[:4096], 200_000, embed_dup.EmbedConfig())
+    (a, ka), (b, kb) = codes.of(x[4096:]), codes.of(near[4096:])
+    met = (ka == kb).any(axis=1) & (np.bitwise_count(a ^ b).sum(axis=1) <= codes.radius)
+    assert met.mean() > 0.995
+
+
 def test_token_counts(spark, docs, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
