@@ -357,6 +357,43 @@ def test_language_model(spark, docs, odd, none, head):
     assert language_model.score(none, cfg).count() == 0
 
 
+def test_language_model_words_follow_the_history(spark):
+    r = random.Random(6)
+    w = sorted({"".join(r.choices("abcdefgh", k=6)) for _ in range(300)})
+    after = dict(zip(w, r.sample(w, len(w))))
+    rows = []
+    for i in range(1500):
+        x = [r.choice(w)]
+        while len(x) < 60:
+            x.append(after[x[-1]])
+        rows.append((i, " ".join(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for head in (1 << 17, 40):  # as head words, and most of them as tail words
+        got = [x for x in language_model.score(df, language_model.LmConfig(head_words=head, batch=512)).collect() if x["held_out"]]
+        assert sum(x["score"] for x in got) / sum(x["n_tokens"] for x in got) > -0.6 - 0.5 * (head == 40)
+
+
+def test_language_model_shares_sum_to_one(spark):
+    r = random.Random(7)
+    w = ["".join(r.choices("abcdef", k=4)) for _ in range(900)]
+    df = spark.createDataFrame([(i, " ".join(r.choices(w, k=50))) for i in range(60)], "text_id long, text string").withColumnRenamed("text_id", "doc_id")
+    cfg = language_model.LmConfig(head_words=500, leaf_words=2)
+    counts = language_model.count_words(df, cfg).cache()
+    v, least = language_model.learn_vocabulary(counts, cfg)
+    rows = [(bytes(x["word"]), x["n"]) for x in counts.collect()]
+    assert 0 < len(v.counts) < len(rows) and v.depth.max() > 0
+    total, class_share = Counter(), np.exp(v.prior[0])
+    for word, n in rows:
+        ids, cls, _, _ = v.tokenise([word.decode()], cfg)
+        token, node, digit = v.steps(ids[: 1 if word else None], cls[: 1 if word else None], cfg.classes)
+        p = np.exp(v.prior[node[1:], digit[1:]].astype(float).sum())
+        total[int(cls[0])] += p if n >= least else p * (n + 1) / v.leaf_size(word, cfg)
+    for c, share in total.items():
+        unseen = len(v.sizes[c]) / v.sizes[c].sum() if c > cfg.clusters else 0  # one share a leaf
+        assert share + unseen == pytest.approx(1, abs=1e-3)
+    assert class_share.sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_main_text(spark):
     forest, maker = html_extract.model(), html_extract.PageMaker(77)
     right = 0
