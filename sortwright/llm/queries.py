@@ -21,7 +21,9 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encoded_summary(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("piece_ids")).cast("long")
+    return pieces.decode(pieces.encode(docs)).select("doc_id", "piece_ids", "decoded", n.alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,6 +194,16 @@ def test_pieces(spark, docs, odd, none):
     assert pieces.encoded_summary(odd).filter("not lossless").count() == 0
 
 
+def test_pieces_query_returns_ids_and_text(spark, docs):
+    from sortwright.llm import queries
+
+    lat, text = pieces.lattice(pieces.default_config()), {r["doc_id"]: r["text"] for r in docs.collect()}
+    out = queries.op3_pieces(spark, SF).collect()
+    assert len(out) == len(text)
+    for r in out:
+        assert r["lossless"] and r["n_pieces"] == len(r["piece_ids"]) and lat.decode(r["piece_ids"]) == r["decoded"] == text[r["doc_id"]]
+
+
 def test_sampled_segmentations_have_the_lattice_probabilities():
     lat, word = pieces.lattice(pieces.default_config()), "there"
     vocab = {b.decode(): i for i, b in enumerate(lat.bytes_of) if b and not 0xFFFFFFFF == i and i not in set(lat.byte_id.tolist()) and b"\xff" not in b}
