@@ -38,11 +38,12 @@ from sortwright.llm.common import slices
 
 # fixed values: element names by their part in HTML
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea title svg math object select xmp noembed noframes".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style textarea title".split())  # without an end tag they reach to the end
+ASIDE = set("template iframe svg noscript select noembed noframes".split())  # passed over up to their end tag, empty without one
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mrow msup msub mfrac msqrt mtext semantics object".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-KINDS = ["article main", "nav menu", "header", "footer", "aside", "form button input label fieldset", "ul ol dl", "li dt dd", "a", "p pre blockquote", "h1 h2 h3 h4 h5 h6", "div section body html", "table tr td th tbody thead", "figure figcaption", "head"]
+KINDS = ["article main", "nav menu", "header", "footer", "aside", "form button input label fieldset", "ul ol dl", "li dt dd", "a", "p pre blockquote xmp", "h1 h2 h3 h4 h5 h6", "div section body html", "table tr td th tbody thead", "figure figcaption", "head"]
 KIND = {t: k for k, names in enumerate(KINDS) for t in names.split()}
 # fixed values: families of class, id and role tokens
 FAMILIES = [
@@ -122,15 +123,15 @@ def parse(html: str) -> Tree:
         t.tag.append(name)
         t.attrs.append({a.lower(): b or c or d for a, b, c, d in _ATTR.findall(m[3])} if m[3].strip() else {})
         t.up.append(stack[-1])
-        if name in RAW:
+        if name in RAW or name in ASIDE and not m[3].rstrip().endswith("/"):
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = close.end() if close else n
-        elif name not in VOID and not m[3].rstrip().endswith("/") or (name not in VOID and name not in RAW and KIND.get(name) is not None):
+            at = close.end() if close else n if name in RAW else at
+        elif name not in VOID | ASIDE and not m[3].rstrip().endswith("/") or (name not in VOID and name not in RAW and KIND.get(name) is not None):
             stack.append(len(t.tag) - 1)
     return t
 
 
-NEVER = RAW | {"head", "button", "input"}
+NEVER = RAW | ASIDE | {"head", "button", "input"}
 N_FEATURES = len(KINDS) + len(FAMILIES) + 17
 
 

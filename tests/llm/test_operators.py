@@ -418,6 +418,17 @@ def test_main_text(spark):
     assert out[4]["text"] == "A title\nOne <two> three\nFour." and out[4]["n_chars"] == len(out[4]["text"])
 
 
+def test_main_text_passes_over_no_text():
+    forest, body = html_extract.model(), "".join(f"<p>Sentence {i} of the article, with words enough to be read.</p>" for i in range(6))
+    plain = html_extract.extract([f"<article><h1>Title</h1>{body}</article>"], forest)[0]
+    assert "Sentence 5" in plain
+    for odd in ("<svg width='1'/>", "<math/>", "<svg>", "<object>", "<select>", "<template>", "<iframe>"):
+        got = html_extract.extract([f"<article><h1>Title</h1>{odd}{body}</article>"], forest)[0]
+        assert all(f"Sentence {i} of" in got for i in range(6)), odd
+    for odd in ("<math><mi>xyz</mi></math>", "<xmp>xyz</xmp>", "<object>xyz</object>"):
+        assert "xyz" in html_extract.extract([f"<article><h1>Title</h1>{body}<p>A sentence of the article, with {odd} inside and words enough.</p>{body}</article>"], forest)[0], odd
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
