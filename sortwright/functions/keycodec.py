@@ -83,7 +83,7 @@ def events_spec() -> KeySpec:
     return KeySpec((("user_id", 8, lambda: unsigned("user_id", 8)), ("ts", 8, lambda: timestamp("ts")), ("event_id", 8, lambda: unsigned("event_id", 8))))
 
 
-#: key bytes, payload bytes
+# fixed values: key bytes, payload bytes
 PRESETS = {"gensort": (10, 90), "tpch88": (88, 32), "tpch66": (66, 54), "taxi66": (66, 54)}
 
 
@@ -91,6 +91,22 @@ def chunk(key: Column, offset: int, length: int) -> Column:
     return F.substring(key, offset + 1, length)
 
 
+def compare(a: Column, b: Column, start: int = 0) -> Column:
+    """-1, 0 or 1: the order of two keys' bytes from ``start`` on."""
+    a, b = (F.substring(x, start + 1, 1 << 20) for x in (a, b))
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
+def prefix_number(key: Column, offset: int = 0) -> Column:
+    """Eight bytes as an unsigned number (decimal, since it may pass 2^63)."""
+    return F.conv(F.hex(chunk(key, offset, 8)), 16, 10).cast("decimal(20,0)")
+
+
+def short_key(high: Column, low: Column) -> Column:
+    """The 10-byte key of an unsigned 64-bit number and a 16-bit one."""
+    return F.concat(F.unhex(F.lpad(F.conv(high.cast("string"), 10, 16), 16, "0")), _hex(low, 2))
+
+
 def zeroed(key: Column, width: int, n: int) -> Column:
     """The key with its first ``n`` bytes set to 0."""
     return F.concat(F.unhex(F.lit("00" * n)), F.substring(key, n + 1, width))

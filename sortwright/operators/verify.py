@@ -6,19 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sortwright.operators.adjacent import with_previous
 
-def violations(df: DataFrame, key: str, pos: str, width: int = 1 << 16) -> DataFrame:
-    """``n_violations, first_pos``: rows that are below their predecessor by
-    ``pos`` (1..n). Blocks of positions are checked apart, and each block's last key
-    against the next one's first."""
-    block = F.floor((F.col(pos) - 1) / width)
-    inner = df.withColumn("b", block).withColumn("prev", F.lag(key).over(Window.partitionBy("b").orderBy(pos))).filter(F.col("prev") > F.col(key)).select(F.col(pos).alias("p"))
-    last = df.filter(F.col(pos) % width == 0).select((F.col(pos) + 1).alias(pos), F.col(key).alias("prev"))
-    edges = df.filter(F.col(pos) % width == 1).join(last, pos).filter(F.col("prev") > F.col(key)).select(F.col(pos).alias("p"))
-    return inner.union(edges).agg(F.count("*").alias("n_violations"), F.min("p").alias("first_pos"))
+
+def violations(df: DataFrame, key: str, pos: str, width: int = 1 << 16, descending: bool = False) -> DataFrame:
+    """``n_violations, first_pos``: rows that are below (above, if descending)
+    their predecessor by ``pos`` (1..n)."""
+    bad = F.col("prev") < F.col(key) if descending else F.col("prev") > F.col(key)
+    return with_previous(df.select(key, pos), key, pos, width).filter(bad).agg(F.count("*").alias("n_violations"), F.min(pos).alias("first_pos"))
 
 
 def checksum(c: Column) -> Column:

@@ -3,15 +3,14 @@ same rows. Results with an order carry it in ``pos``."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sortwright.functions import keycodec as kc
-from sortwright.operators import adjacent, keystats, sorting, verify
-from sortwright.sources import generators, records
+from sortwright.operators import adjacent, costs, keystats, sorting, storage, verify
+from sortwright.sources import generators, records, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -90,8 +89,33 @@ def sort_typed_multicol(spark, sf_dir):
 
 @query(f"WITH {LK} SELECT row_number() OVER (ORDER BY key DESC) AS pos, key FROM k")
 def sort_reverse(spark, sf_dir):
-    df = lineitem(spark, sf_dir)
-    return lineitem_ranked(spark, sf_dir).select((F.lit(df.count()) + 1 - F.col("pos")).alias("pos"), h())
+    return sorting.ranked(lineitem(spark, sf_dir).select("key"), ["key"], descending=True).select("pos", h())
+
+
+@query(f"WITH {LK} SELECT key FROM k")
+def sort_verified(spark, sf_dir):
+    """The public sort with its own check of order and multiset."""
+    return sorting.sort(lineitem(spark, sf_dir).select("key"), sorting.SortConfig(keys=("key",), verify=True)).select(h())
+
+
+@query(f"WITH {EK} SELECT row_number() OVER (ORDER BY substr(key,1,20), event_id) AS pos, event_id FROM e")
+def sort_preset(spark, sf_dir):
+    """Records of 10 key bytes, stable: equal keys in the order of the input."""
+    df = events(spark, sf_dir).select("event_id", F.col("key").alias("rec")).withColumn("k", kc.chunk(F.col("rec"), 0, kc.PRESETS["gensort"][0]))
+    return sorting.ranked(df, ["k", "event_id"]).select("pos", "event_id")
+
+
+@query("SELECT page, min(pos) AS first, max(pos) AS last, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS pos, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS page FROM orders) GROUP BY page")
+def paged_scan(spark, sf_dir):
+    """Pages of a fixed order, all from one range exchange."""
+    page = sorting.ranked(read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"]).withColumn("page", F.floor((F.col("pos") - 1) / 1000))
+    return page.groupBy("page").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY md5(event_id::VARCHAR), event_id LIMIT 500")
+def sample_rows(spark, sf_dir):
+    """A sample of fixed size by a hash of the key."""
+    return sorting.sampled(read(spark, sf_dir, "events").select("event_id", "user_id"), "event_id", 500)
 
 
 @query("SELECT row_number() OVER (ORDER BY o_orderkey) AS pos, lpad(hex(o_orderkey::BIGINT),16,'0')||'0000' AS key FROM orders")
@@ -191,11 +215,16 @@ _zeroed(8)
 _zeroed(32)
 
 
-@query(f"WITH {LK}, t AS (SELECT l_orderkey % 32 AS tpl, key FROM k), z AS (SELECT lpad(hex(((tpl * 2654435761) % 4294967296)::BIGINT), 64, '0')||substr(key,65) AS pkey, key FROM t) SELECT row_number() OVER (ORDER BY pkey, key) AS pos, pkey FROM z")
-def adversarial_pool(spark, sf_dir):
-    tpl = F.lpad(F.hex((F.col("l_orderkey") % 32 * 2654435761) % 4294967296), 64, "0")
-    df = lineitem(spark, sf_dir).select("key", F.concat(F.unhex(tpl), F.substring("key", 33, WIDTH)).alias("pkey"))
-    return sorting.ranked(df, ["pkey", "key"]).select("pos", h("pkey"))
+def _pooled(n: int, name: str) -> None:
+    @query(f"WITH {LK}, t AS (SELECT l_orderkey % {n} AS tpl, key FROM k), z AS (SELECT lpad(hex(((tpl * 2654435761) % 4294967296)::BIGINT), 64, '0')||substr(key,65) AS pkey, key FROM t) SELECT row_number() OVER (ORDER BY pkey, key) AS pos, pkey FROM z", name)
+    def run(spark, sf_dir):
+        tpl = F.lpad(F.hex((F.col("l_orderkey") % n * 2654435761) % 4294967296), 64, "0")
+        df = lineitem(spark, sf_dir).select("key", F.concat(F.unhex(tpl), F.substring("key", 33, WIDTH)).alias("pkey"))
+        return sorting.ranked(df, ["pkey", "key"]).select("pos", h("pkey"))
+
+
+_pooled(32, "adversarial_pool")
+_pooled(1000, "adversarial_pool1000")
 
 
 # -- key statistics and codecs ---------------------------------------------
@@ -254,8 +283,8 @@ def column_entropy(spark, sf_dir):
 
 CODEC_COLS = ["l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 _LONG = " UNION ALL ".join(f"SELECT '{c}' AS col, {f'round({c}*100)::BIGINT' if i < 4 else f'{c}::BIGINT'} AS v FROM lineitem" for i, c in enumerate(CODEC_COLS))
-_CODEC = f"l AS ({_LONG}), g AS (SELECT col, v, count(*) AS n FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, v) AS r FROM g), s AS (SELECT col, min(v) AS lo, max(v) AS hi, count(*) AS ndv, sum(n) AS n, sum(CASE WHEN r <= 254 THEN n ELSE 0 END) AS hit FROM r GROUP BY col), z AS (SELECT col, CASE WHEN hi > lo THEN ceil(log2(hi - lo + 1)) ELSE 0 END AS bits, CASE WHEN ndv > 1 THEN ceil(log2(ndv)) ELSE 0 END AS dbits, hit / n AS cov FROM s)"
-_SIZES = {"for": "greatest(1, ceil(bits / 8))", "for_bitpack": "bits / 8", "dictionary": "dbits / 8", "mostly_dict": "cov + (1 - cov) * 9"}
+_CODEC = f"l AS ({_LONG}), g AS (SELECT col, v, count(*) AS n FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, v) AS r FROM g), s AS (SELECT col, min(v) AS lo, max(v) AS hi, count(*) AS ndv, sum(n) AS n, sum(CASE WHEN r <= 254 THEN n ELSE 0 END) AS hit FROM r GROUP BY col), z AS (SELECT col, CASE WHEN hi > lo THEN ceil(log2(hi - lo + 1)) ELSE 0 END AS bits, CASE WHEN ndv > 1 THEN ceil(log2(ndv)) ELSE 0 END AS dbits, hit / n AS cov, ndv, n - hit AS miss FROM s)"
+_SIZES = {"for": "greatest(1, ceil(bits / 8))", "for_bitpack": "bits / 8", "dictionary": "greatest(1, ceil(dbits / 8))", "mostly_dict": "cov + (1 - cov) * 9"}
 
 
 def codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +295,7 @@ def codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _codec(name: str, codec: str) -> None:
     @query(f"WITH {_CODEC} SELECT col, round(({_SIZES[codec]})::DOUBLE, 6) AS bytes_per_value FROM z", name)
     def run(spark, sf_dir):
-        return codecs(spark, sf_dir).filter(F.col("codec") == codec).drop("codec")
+        return codecs(spark, sf_dir).filter(F.col("codec") == codec).select("col", "bytes_per_value")
 
 
 _codec("codec_for", "for")
@@ -280,6 +309,32 @@ def codec_report(spark, sf_dir):
     return codecs(spark, sf_dir).groupBy("codec").agg(F.round(F.sum("bytes_per_value"), 4).alias("bytes_per_row"), F.count("*").alias("cols"))
 
 
+RAW = {c: n for c, n, _ in kc.lineitem_spec().fields}
+_BITS = {"for": "bits", "for_bitpack": "bits", "dictionary": "dbits", "mostly_dict": "round((cov + (1 - cov) * 9) * 8, 1)"}
+_RAW = "CASE col " + " ".join(f"WHEN {c!r} THEN {RAW[c]}" for c in CODEC_COLS) + " END"
+
+
+@query(f"WITH {_CODEC}, a AS ({' UNION ALL '.join(f'SELECT col, {k!r} AS codec, ({v})::DOUBLE AS b, ({_BITS[k]})::DOUBLE AS bits, ndv, {"cov" if k == "mostly_dict" else "1.0"} AS cov, {"miss" if k == "mostly_dict" else "0"} AS miss FROM z' for k, v in _SIZES.items())}) SELECT col, codec, {_RAW} AS raw_bytes, round(b, 6) AS bytes_per_value, round({_RAW} / greatest(b, CASE WHEN codec IN ('for', 'dictionary') THEN 0.125 ELSE 0.01 END), 2) AS ratio, bits AS bits_per_value, ndv AS n_distinct, round(cov, 6)::DOUBLE AS coverage, miss::BIGINT AS n_escape FROM a")
+def codec_detail(spark, sf_dir):
+    raw = F.element_at(F.create_map(*(F.lit(x) for c in CODEC_COLS for x in (c, RAW[c]))), F.col("col"))
+    least = F.when(F.col("codec").isin("for", "dictionary"), 0.125).otherwise(0.01)
+    return codecs(spark, sf_dir).select("col", "codec", raw.alias("raw_bytes"), "bytes_per_value", F.round(raw / F.greatest("bytes_per_value", least), 2).alias("ratio"), "bits_per_value", "n_distinct", "coverage", "n_escape")
+
+
+_WORDS = "w AS (SELECT word, sum(x)::BIGINT AS packed FROM (SELECT event_id * 13 // 32 AS word, ((user_id & 8191) << (event_id * 13 % 32)::INTEGER) & 4294967295 AS x FROM events UNION ALL SELECT event_id * 13 // 32 + 1, (user_id & 8191) >> (32 - event_id * 13 % 32)::INTEGER FROM events WHERE event_id * 13 % 32 + 13 > 32) GROUP BY word)"
+
+
+@query(f"WITH {_WORDS} SELECT word, packed FROM w")
+def lsb_bitpack_encode(spark, sf_dir):
+    return keystats.pack_words(read(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id", 13)
+
+
+@query("SELECT event_id AS pos, user_id & 8191 AS value FROM events")
+def lsb_bitpack_decode(spark, sf_dir):
+    df = read(spark, sf_dir, "events").select("event_id", "user_id")
+    return keystats.unpack_words(keystats.pack_words(df, "user_id", "event_id", 13), df.count(), 13)
+
+
 @query("WITH m AS (SELECT min(l_partkey) AS lo FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey - lo AS enc, (l_partkey - lo) + lo AS dec FROM lineitem, m")
 def for_encode_decode(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem")
@@ -338,9 +393,8 @@ def ovc_per_run(spark, sf_dir):
 
 @query(f"WITH {LK}, s AS (SELECT key, row_number() OVER (ORDER BY key) AS pos FROM k), {_ovc_sql('s', 'ORDER BY pos', WIDTH)} SELECT pos, ovc FROM o")
 def ovc_whole_run(spark, sf_dir):
-    """Each row meets its predecessor by an equi-join on the position."""
-    s = lineitem_ranked(spark, sf_dir)
-    return s.join(s.select((F.col("pos") + 1).alias("pos"), F.col("key").alias("prev")), "pos", "left").select("pos", adjacent.ovc(F.col("prev"), F.col("key"), WIDTH).alias("ovc"))
+    with_prev = adjacent.with_previous(lineitem_ranked(spark, sf_dir), "key", "pos")
+    return with_prev.select("pos", adjacent.ovc(F.col("prev"), F.col("key"), WIDTH).alias("ovc"))
 
 
 @query(f"WITH {RUN}, {_ovc_sql('r', 'PARTITION BY run_id ORDER BY pos', 24)} SELECT ovc >> 29 AS flag, 8191 - ((ovc >> 16) & 8191) AS off, count(*) AS n, max(ovc & 65535) AS top FROM o GROUP BY ALL")
@@ -349,6 +403,36 @@ def ovc_fields(spark, sf_dir):
     return ovc_per_run(spark, sf_dir).groupBy(adjacent.ovc_flag(o).alias("flag"), adjacent.ovc_offset(o).alias("off")).agg(F.count("*").alias("n"), F.max(adjacent.ovc_value(o)).alias("top"))
 
 
+@query(f"WITH {RUN}, {_ovc_sql('r', 'PARTITION BY run_id ORDER BY pos', 24)} SELECT count(*) FILTER (ovc >> 29 = 3) AS initial, count(*) FILTER (ovc >> 29 = 2) AS normal, count(*) FILTER (ovc >> 29 = 1) AS duplicate, count(*) FILTER (ovc >> 29 = 0) AS early, count(*) FILTER (ovc >> 29 = 4) AS late, count(*) FILTER (ovc >> 29 IN (0, 4)) AS fences FROM (SELECT ovc FROM o UNION ALL SELECT 0 UNION ALL SELECT {adjacent.LATE})")
+def ovc_predicates(spark, sf_dir):
+    """Codes by kind, the two fences added."""
+    codes = ovc_per_run(spark, sf_dir).select("ovc").union(spark.createDataFrame([(adjacent.EARLY,), (adjacent.LATE,)], "ovc long"))
+    kinds = {"initial": adjacent.is_initial, "normal": adjacent.is_normal, "duplicate": adjacent.is_duplicate, "early": adjacent.is_early, "late": adjacent.is_late, "fences": adjacent.is_fence}
+    return codes.agg(*(F.count_if(f(F.col("ovc"))).alias(k) for k, f in kinds.items()))
+
+
+@query(f"WITH {RUN}, p AS (SELECT run_id, pos, key, lag(key) OVER (PARTITION BY run_id ORDER BY pos) AS prev FROM r) SELECT run_id, pos, CASE WHEN substr(prev, 17) < substr(key, 17) THEN -1 WHEN substr(prev, 17) > substr(key, 17) THEN 1 ELSE 0 END AS c FROM p WHERE prev IS NOT NULL")
+def key_compare_from(spark, sf_dir):
+    """Neighbours compared from the ninth byte on."""
+    prev = F.lag("key").over(Window.partitionBy("run_id").orderBy("pos"))
+    return runs(spark, sf_dir).withColumn("prev", prev).filter("prev is not null").select("run_id", "pos", kc.compare(F.col("prev"), F.col("key"), 8).alias("c"))
+
+
+@query(f"WITH {EK} SELECT event_id, ('0x'||substr(key,1,16))::UBIGINT::VARCHAR AS high, ('0x'||substr(key,17,4))::BIGINT AS low, substr(key,1,20) AS back FROM e")
+def sort_key_parts(spark, sf_dir):
+    """Ten-byte keys as a 64-bit and a 16-bit number, and back."""
+    k = F.col("key")
+    parts = events(spark, sf_dir).select("event_id", kc.prefix_number(k).alias("high"), F.conv(F.hex(kc.chunk(k, 8, 2)), 16, 10).cast("bigint").alias("low"))
+    return parts.select("event_id", F.col("high").cast("string").alias("high"), "low", F.hex(kc.short_key(F.col("high"), F.col("low"))).alias("back"))
+
+
+@query(f"WITH {_COMPACT}, p AS (SELECT key, rpad(ck, 32, '0') AS ck FROM c) SELECT key, substr(ck, 1, 16) AS p0, substr(ck, 17, 16) AS p1 FROM p")
+def compact_prefix16(spark, sf_dir):
+    df = lineitem(spark, sf_dir).select("key")
+    ckey = kc.compact(F.col("key"), keystats.varying(df, "key", WIDTH))
+    return df.select("key", F.rpad(F.hex(ckey), 32, "0").alias("ckey")).select(h(), F.substring("ckey", 1, 16).alias("p0"), F.substring("ckey", 17, 16).alias("p1"))
+
+
 @query(f"WITH {RUN} SELECT run_id, (pos - 1) * 24 AS byte_offset, key FROM r WHERE (pos - 1) % 64 = 0")
 def sparse_index_64(spark, sf_dir):
     return runs(spark, sf_dir).filter("(pos - 1) % 64 = 0").select("run_id", ((F.col("pos") - 1) * 24).alias("byte_offset"), h())
@@ -379,8 +463,7 @@ def tie_group_stats(spark, sf_dir):
 
 @query(f"WITH {LK} SELECT key, row_number() OVER (PARTITION BY substr(key,1,16) ORDER BY key) AS in_group FROM k")
 def tie_fixup_rank(spark, sf_dir):
-    df = lineitem(spark, sf_dir).select("key", kc.chunk(F.col("key"), 0, 8).alias("prefix"))
-    return df.select(h(), F.row_number().over(Window.partitionBy("prefix").orderBy("key")).cast("bigint").alias("in_group"))
+    return sorting.in_group_rank(lineitem(spark, sf_dir).select("key"), "key", kc.chunk(F.col("key"), 0, 8)).select(h(), "in_group")
 
 
 # -- merges and partitioning -----------------------------------------------
@@ -399,6 +482,29 @@ def merge_kway8(spark, sf_dir):
     return sorting.ranked(e, ["key", "run_id", "event_id"]).select("pos", "run_id", "event_id")
 
 
+@query(f"WITH {EK} SELECT row_number() OVER (ORDER BY ('0x'||substr(key,17,16))::UBIGINT, event_id % 4, event_id) AS pos, event_id % 4 AS run_id, event_id FROM e")
+def merge_u64(spark, sf_dir):
+    """Runs merged by unsigned 64-bit keys."""
+    e = events(spark, sf_dir).select(kc.prefix_number(F.col("key"), 8).alias("k"), (F.col("event_id") % 4).alias("run_id"), "event_id")
+    return sorting.ranked(e, ["k", "run_id", "event_id"]).select("pos", "run_id", "event_id")
+
+
+@query(f"WITH {EK} SELECT row_number() OVER (ORDER BY substr(key,1,32), event_id % 4, event_id) AS pos, event_id FROM e")
+def merge_prefix16(spark, sf_dir):
+    """Runs merged by a 16-byte prefix; equal prefixes in the order of runs."""
+    e = events(spark, sf_dir).select(kc.chunk(F.col("key"), 0, 16).alias("k"), (F.col("event_id") % 4).alias("run_id"), "event_id")
+    return sorting.ranked(e, ["k", "run_id", "event_id"]).select("pos", "event_id")
+
+
+@query(f"WITH {EK} SELECT row_number() OVER (ORDER BY key) AS pos, event_id % 2 AS source, event_id, value FROM e")
+def gather_by_source(spark, sf_dir):
+    """Payloads of two sources in the order of a permutation of (source, row)."""
+    source = (F.col("event_id") % 2).cast("int")
+    perm = events_ranked(spark, sf_dir).select("pos", source.alias("source"), "event_id")
+    e = read(spark, sf_dir, "events").select("event_id", "value")
+    return sorting.gather_from([e.filter(source == k) for k in (0, 1)], perm, "event_id").select("pos", F.col("source").cast("bigint").alias("source"), "event_id", "value")
+
+
 PARTS = 16
 SPLIT = f"{EK}, s AS (SELECT key, row_number() OVER (ORDER BY key) AS pos FROM e), sm AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS m FROM s WHERE (pos - 1) % 16 = 0), sp AS (SELECT t.i AS split, sm.key FROM range(1, {PARTS}) t(i), sm WHERE sm.i = t.i * sm.m // {PARTS}), cl AS (SELECT e.event_id, e.key, e.event_id % 8 AS run_id, (SELECT count(*) FROM sp WHERE e.key >= sp.key) AS part FROM e)"
 
@@ -457,13 +563,9 @@ def run_bounds(spark, sf_dir):
 
 @query(f"WITH {SPLIT} SELECT part, row_number() OVER (ORDER BY key) AS pos, event_id FROM cl")
 def sample_sort(spark, sf_dir):
-    c = classified(spark, sf_dir)
-    total, base = 0, []
-    for p, n in sorted((r["part"], r["n"]) for r in c.groupBy("part").agg(F.count("*").alias("n")).collect()):
-        base += [F.lit(p), F.lit(total)]
-        total += n
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("key"))
-    return c.select("part", (rank + F.element_at(F.create_map(*base), F.col("part"))).cast("bigint").alias("pos"), "event_id")
+    """Classified by the splitters, then ranked by range and key: the ranges' own
+    number doesn't limit the tasks."""
+    return sorting.ranked(classified(spark, sf_dir).select("part", "key", "event_id"), ["part", "key"]).select("part", "pos", "event_id")
 
 
 @query("SELECT event_id // 2500 AS chunk, event_id - (event_id // 2500) * 2500 AS local, event_id AS global FROM events")
@@ -514,7 +616,7 @@ _N = 10_000
 _SWAP = "CASE WHEN id % 2 = 0 THEN id + 1 ELSE id - 1 END"
 _DIST = {
     "random": _H, "sorted": "id", "reverse": f"{_N} - 1 - id", "sequential": "id + 1", "all_duplicates": "42", "nearly_sorted": f"CASE WHEN id % 40 < 2 AND {_SWAP} < {_N} THEN {_SWAP} ELSE id END",
-    "few_unique": f"({_H}) % 1000", "pool10": f"({_H}) % 10", "zipf": f"floor({_N}.0 / (({_H}) % {_N} + 1))", "two_distinct": f"CASE WHEN ({_H}) % 2 = 0 THEN 1 ELSE 2 END",
+    "few_unique": f"({_H}) % 1000", "pool10": f"({_H}) % 10", "zipf": f"floor({_N}.0 / (({_H}) % {_N} + 1))", "zipf2": f"floor(4294967296.0 / ({_H} + 1))::BIGINT % 10000", "two_distinct": f"CASE WHEN ({_H}) % 2 = 0 THEN 1 ELSE 2 END",
     "alternating": "CASE WHEN id % 2 = 0 THEN 0 ELSE 255 END", "zeros": "0", "ones": "4294967295", "skew": f"CASE WHEN ({_H}) % 10 < 9 THEN 7 ELSE {_H} END",
 }
 
@@ -540,6 +642,22 @@ def gen_displaced(spark, sf_dir):
     return df.withColumn("src", generators.displaced(df, "pos", 100, 37, 10_000))
 
 
+@query("SELECT id AS pos, CASE WHEN id % 20 = 0 AND id + 7 < 10000 THEN id + 7 WHEN id % 20 = 7 THEN id - 7 ELSE id END AS src FROM range(10000) t(id)")
+def gen_displaced_5pct(spark, sf_dir):
+    df = spark.range(10_000).withColumnRenamed("id", "pos")
+    return df.withColumn("src", generators.displaced(df, "pos", 20, 7, 10_000))
+
+
+@query(f"SELECT id, ({_H}) % 65536 AS key FROM range({_N}) t(id)")
+def gen_cardinality_64k(spark, sf_dir):
+    return generators.of_cardinality(spark, _N, 1 << 16)
+
+
+@query("SELECT id, string_agg(lpad(hex(((((id * 1009 + p) + 42) * 2654435761) % 4294967296 // 65536 % 256)::BIGINT), 2, '0'), '' ORDER BY p) AS rec FROM range(2000) t(id), range(120) u(p) GROUP BY id")
+def gen_full_records(spark, sf_dir):
+    return generators.full_records(spark, 2000, 120)
+
+
 @query("SELECT run_id, count(*) AS n, min(v) AS lo, max(v) AS hi FROM (SELECT id % 4 AS run_id, id + (CASE WHEN id % 4 = 2 THEN 1000000 ELSE 0 END) AS v FROM range(20000) t(id)) GROUP BY run_id")
 def gen_shifted_runs(spark, sf_dir):
     r = spark.range(20_000).select((F.col("id") % 4).alias("run_id"), (F.col("id") + F.when(F.col("id") % 4 == 2, 1_000_000).otherwise(0)).alias("v"))
@@ -565,6 +683,48 @@ def report_summary(spark, sf_dir):
     return results(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("verify") != "pass").alias("fails"), F.max("throughput").alias("best"), F.min("throughput").alias("worst"), F.round(F.avg("throughput"), 4).alias("mean"))
 
 
+_CSV = f"{RESULTS}, c AS (SELECT num_records, distribution, strategy, total_ms, throughput AS throughput_gbs, num_records / total_ms / 1000 AS throughput_mrec_s, verify FROM b)"
+
+
+def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows with all columns of a result file, written and read back."""
+    r = results(spark, sf_dir).select(F.lit("none").alias("gpu"), "num_records", "distribution", "strategy", "total_ms", "run_gen_ms", "merge_ms", F.col("throughput").alias("throughput_gbs"), (F.col("num_records") / F.col("total_ms") / 1000).alias("throughput_mrec_s"), F.lit(3).alias("merge_passes"), (F.col("throughput") * 6).alias("hbm_traffic_gb"), "verify")
+    path = storage.new_path(spark, "results")
+    tables.write_results(r, path)
+    return tables.read_results(spark, path)
+
+
+@query(f"WITH {_CSV} SELECT count(*) AS n, count(*) FILTER (verify <> 'pass') AS fails, max(throughput_gbs) AS best, min(throughput_gbs) AS worst, round(avg(throughput_gbs), 4) AS mean, round(max(throughput_mrec_s), 9) AS best_mrec_s, min(total_ms) AS fastest_ms, max(total_ms) AS slowest_ms FROM c")
+def report_from_csv(spark, sf_dir):
+    g = "throughput_gbs"
+    return result_rows(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("verify") != "pass").alias("fails"), F.max(g).alias("best"), F.min(g).alias("worst"), F.round(F.avg(g), 4).alias("mean"), F.round(F.max("throughput_mrec_s"), 9).alias("best_mrec_s"), F.min("total_ms").alias("fastest_ms"), F.max("total_ms").alias("slowest_ms"))
+
+
+@query(f"WITH {RESULTS}, l AS (SELECT distribution, strategy, throughput FROM b WHERE num_records = (SELECT max(num_records) FROM b)), t AS (SELECT max(throughput) AS top FROM l) SELECT distribution, strategy, throughput, repeat('#', floor(40 * throughput / top)::BIGINT) AS bar, count(*) AS n FROM l, t GROUP BY ALL")
+def report_chart_largest(spark, sf_dir):
+    """The rows of the largest size with their bars, equal ones counted."""
+    r = results(spark, sf_dir)
+    size = r.agg(F.max("num_records").alias("num_records"))
+    l = r.join(F.broadcast(size), "num_records").groupBy("distribution", "strategy", "throughput").agg(F.count("*").alias("n"))
+    bar = F.expr("repeat('#', cast(floor(40 * throughput / top) as int))").alias("bar")
+    return l.crossJoin(F.broadcast(l.agg(F.max("throughput").alias("top")))).select("distribution", "strategy", "throughput", bar, "n")
+
+
+@query("SELECT o_orderkey, CASE WHEN x >= 1000000 THEN printf('%.0f', x / 1e6)||'M' WHEN x >= 1000 THEN printf('%.0f', x / 1e3)||'K' ELSE x::VARCHAR END AS size FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 37 % 90000000)::BIGINT AS x FROM orders)")
+def human_size(spark, sf_dir):
+    n = F.col("o_orderkey") * F.col("o_orderkey") * 37 % 90_000_000
+    return read(spark, sf_dir, "orders").select("o_orderkey", costs.human_size(n).alias("size"))
+
+
+@query(f"WITH {RESULTS} SELECT num_records, distribution, strategy, count(*) AS n, min(printf('CSV,none,%.2f,%d,%d,%d,%.2f,%.2f,%.2f,%.4f,%.2f,%.2f,%.2f,%.1f', num_records / 4, num_records, 7, 3, total_ms * 0.25, total_ms * 0.5, total_ms, throughput / 4, num_records / 2, num_records / 2, num_records::DOUBLE, 4.0)) AS line FROM b GROUP BY ALL")
+def csv_line_sink(spark, sf_dir):
+    """Printed result lines; the least of each group."""
+    n = F.col("num_records")
+    cols = {"gpu": F.lit("none"), "total_gb": n / 4, "num_records": n, "num_runs": F.lit(7), "merge_passes": F.lit(3), "run_gen_ms": F.col("run_gen_ms"), "merge_ms": F.col("merge_ms"), "total_ms": F.col("total_ms"), "gb_s": F.col("throughput") / 4, "h2d_gb": n / 2, "d2h_gb": n / 2, "moved_gb": n.cast("double"), "amplification": F.lit(4.0)}
+    rows = results(spark, sf_dir).select("distribution", "strategy", *(c.alias(k) for k, c in cols.items()))
+    return rows.groupBy("num_records", "distribution", "strategy").agg(F.count("*").alias("n"), F.min(tables.result_line()).alias("line"))
+
+
 @query(f"WITH {RESULTS} SELECT num_records, min(throughput) AS lo, round(avg(throughput), 4) AS mean, max(throughput) AS hi FROM b GROUP BY num_records")
 def report_by_size(spark, sf_dir):
     return results(spark, sf_dir).groupBy("num_records").agg(F.min("throughput").alias("lo"), F.round(F.avg("throughput"), 4).alias("mean"), F.max("throughput").alias("hi"))
@@ -654,20 +814,27 @@ def csv_line_filter(spark, sf_dir):
 _RUNS = "ceil(n / 512.0)"
 
 
-@query(f"WITH t AS (SELECT count(*) AS n FROM lineitem), f AS (SELECT unnest([2,4,8,16,32]) AS k), p AS (SELECT k, n, greatest(0, ceil(round(ln({_RUNS}) / ln(k), 9)))::BIGINT AS passes FROM t, f) SELECT k::BIGINT AS fan_in, passes, 2 * n * 100 * passes AS traffic, round(2 * n * 100 * passes / (672e9 * 0.8) * 1e3, 6) AS ms80 FROM p")
+@query(f"WITH t AS (SELECT count(*) AS n FROM lineitem), f AS (SELECT unnest([2,4,8,16,32]) AS k), p AS (SELECT k, n, greatest(0, ceil(round(ln({_RUNS}) / ln(k), 9)))::BIGINT AS passes FROM t, f), w AS (SELECT *, 2 * n * 100 * passes AS traffic FROM p) SELECT k::BIGINT AS fan_in, passes, traffic, round(traffic / (2039e9 * 0.8) * 1e3, 6) AS ms80, round(traffic / (2039e9 * 0.6) * 1e3, 6) AS ms60, round(traffic / (2039e9 * 0.4) * 1e3, 6) AS ms40 FROM w")
 def fan_in_tradeoff(spark, sf_dir):
-    n = read(spark, sf_dir, "lineitem").count()
+    n = F.lit(read(spark, sf_dir, "lineitem").count())
     k = spark.createDataFrame([(x,) for x in (2, 4, 8, 16, 32)], "fan_in long")
-    passes = F.greatest(F.lit(0), F.ceil(F.round(F.log(F.ceil(F.lit(n / 512.0))) / F.log("fan_in"), 9))).cast("bigint")
-    traffic = F.lit(200 * n) * F.col("passes")
-    return k.withColumn("passes", passes).select("fan_in", "passes", traffic.alias("traffic"), F.round(traffic / (672e9 * 0.8) * 1e3, 6).alias("ms80"))
+    t = k.withColumn("passes", costs.passes(costs.runs(n), F.col("fan_in"))).withColumn("traffic", costs.traffic(n * 100, F.col("passes")))
+    return t.select("fan_in", "passes", "traffic", *(F.round(costs.milliseconds(F.col("traffic"), x / 100), 6).alias(f"ms{x}") for x in (80, 60, 40)))
 
 
-@query("WITH s AS (SELECT unnest([10,32,64,100,128,256,512,1000]) AS bytes), r AS (SELECT bytes, 1000000000 // bytes AS n FROM s) SELECT bytes::BIGINT AS bytes, n::BIGINT AS n, round(10.0 / bytes, 6)::DOUBLE AS key_share, ceil(n / 512.0)::BIGINT AS runs, ceil(round(ln(ceil(n / 512.0)) / ln(2), 9))::BIGINT AS passes2, ceil(round(ln(ceil(n / 512.0)) / ln(8), 9))::BIGINT AS passes8 FROM r")
+@query("WITH s AS (SELECT unnest([10,20,50,100,200,500,1000]) AS bytes), r AS (SELECT bytes, 1000000000 // bytes AS n FROM s), p AS (SELECT *, ceil(n / 512.0)::BIGINT AS runs, ceil(round(ln(ceil(n / 512.0)) / ln(2), 9))::BIGINT AS passes2, ceil(round(ln(ceil(n / 512.0)) / ln(8), 9))::BIGINT AS passes8 FROM r) SELECT bytes::BIGINT AS bytes, n::BIGINT AS n, round(10.0 / bytes, 6)::DOUBLE AS key_share, runs, passes2, passes8, 2000000000 * passes2 AS traffic2, 2000000000 * passes8 AS traffic8 FROM p")
 def record_size_table(spark, sf_dir):
-    s = spark.createDataFrame([(x,) for x in (10, 32, 64, 100, 128, 256, 512, 1000)], "bytes long").withColumn("n", F.floor(F.lit(1000000000) / F.col("bytes")).cast("bigint"))
-    passes = lambda k: F.ceil(F.round(F.log(F.ceil(F.col("n") / 512.0)) / F.log(F.lit(float(k))), 9)).cast("bigint")
-    return s.select("bytes", "n", F.round(10.0 / F.col("bytes"), 6).alias("key_share"), F.ceil(F.col("n") / 512.0).cast("bigint").alias("runs"), passes(2).alias("passes2"), passes(8).alias("passes8"))
+    total = F.lit(1_000_000_000).cast("bigint")
+    s = spark.createDataFrame([(x,) for x in (10, 20, 50, 100, 200, 500, 1000)], "bytes long").withColumn("n", F.floor(total / F.col("bytes")))
+    s = s.withColumn("runs", costs.runs(F.col("n"))).withColumn("passes2", costs.passes(F.col("runs"), F.lit(2))).withColumn("passes8", costs.passes(F.col("runs"), F.lit(8)))
+    return s.select("bytes", "n", F.round(10.0 / F.col("bytes"), 6).alias("key_share"), "runs", "passes2", "passes8", costs.traffic(total, F.col("passes2")).alias("traffic2"), costs.traffic(total, F.col("passes8")).alias("traffic8"))
+
+
+@query(f"WITH t AS (SELECT count(*) AS n FROM lineitem), f AS (SELECT unnest([2,4,8,16,32]) AS k) SELECT k::BIGINT AS fan_in, round(n * 120 / 1e9 / (350 / 1e3) + 2 * (n * 120 / 1e9) * greatest(0, ceil(round(ln({_RUNS}) / ln(k), 9))) / (420 / 1e3), 6) AS ms FROM t, f")
+def merge_sort_model(spark, sf_dir):
+    n = F.lit(read(spark, sf_dir, "lineitem").count())
+    k = spark.createDataFrame([(x,) for x in (2, 4, 8, 16, 32)], "fan_in long")
+    return k.select("fan_in", F.round(costs.merge_sort_ms(n, F.lit(120), 512, F.col("fan_in"), 350.0, 420.0), 6).alias("ms"))
 
 
 @query(f"WITH {RESULTS}, a AS (SELECT num_records, 400 / avg(merge_ms) AS ratio FROM b GROUP BY num_records) SELECT num_records, round(ratio, 6) AS ratio, CASE WHEN ratio > 10 THEN 'compute-bound' WHEN ratio > 3 THEN 'partial' ELSE 'near ceiling' END AS kind FROM a")
@@ -679,23 +846,16 @@ def bottleneck_class(spark, sf_dir):
 # -- sinks and sources: what was written is read back ----------------------
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; only without one (tests) in a
-    local folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
-
-
 @query(f"WITH {LK} SELECT key FROM k")
 def sink_sorted_parquet(spark, sf_dir):
-    path = scratch(spark, "sorted")
+    path = storage.new_path(spark, "sorted")
     sorting.ordered(lineitem(spark, sf_dir).select("key"), ["key"]).write.option("compression", "none").parquet(path)
     return spark.read.parquet(path).select(h())
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_roundtrip(spark, sf_dir):
-    path = scratch(spark, "csv")
+    path = storage.new_path(spark, "csv")
     df = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     df.write.option("header", True).csv(path)
     return spark.read.schema(df.schema).option("header", True).csv(path)
@@ -703,7 +863,30 @@ def csv_roundtrip(spark, sf_dir):
 
 @query(f"WITH {EK}, p AS (SELECT row_number() OVER (ORDER BY key) - 1 AS rid, key, lpad(hex(event_id::BIGINT),16,'0') AS payload FROM e) SELECT key, payload FROM p")
 def binary_records_roundtrip(spark, sf_dir):
-    path = scratch(spark, "records")
+    path = storage.new_path(spark, "records")
     df = sorting.ordered(events(spark, sf_dir).select("key", kc.unsigned("event_id", 8).alias("payload")), ["key"])
     records.write_records(df, path)
     return records.read_records(spark, path, 24, 8).select(h(), h("payload"))
+
+
+@query("SELECT event_id, user_id FROM events")
+def parquet_multi_scan(spark, sf_dir):
+    """Three files of one schema read as one table, two columns of them."""
+    e, paths = read(spark, sf_dir, "events"), []
+    for k in range(3):
+        paths.append(storage.new_path(spark, "part"))
+        e.filter(F.pmod("user_id", F.lit(3)) == k).write.parquet(paths[-1])
+    return tables.read_parquet(spark, paths, ["event_id", "user_id"])
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def arrow_roundtrip(spark, sf_dir):
+    return tables.from_arrow(spark, read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").toArrow())
+
+
+@query("SELECT (n_nationkey // 10)::BIGINT AS chunk, count(*) AS n, min(n_name) AS first, max(n_nationkey)::BIGINT AS last FROM nation GROUP BY 1")
+def stream_fetch(spark, sf_dir):
+    """A table of bounded size fetched in chunks of ten rows, in order."""
+    rows = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), "n_name").orderBy("k")
+    chunks = [(i, len(c), min(r["n_name"] for r in c), max(r["k"] for r in c)) for i, c in enumerate(tables.fetch(rows, 10))]
+    return spark.createDataFrame(chunks, "chunk long, n long, first string, last long")

@@ -23,13 +23,15 @@ def distribution(name: str, n: int, seed: int = 42) -> Column:
         "random": h, "sorted": i, "reverse": n - 1 - i, "sequential": i + 1, "all_duplicates": F.lit(42).cast("bigint"),
         # 95 % in place: every 20th pair of neighbours changes places
         "nearly_sorted": F.when(swap, F.when(i % 2 == 0, i + 1).otherwise(i - 1)).otherwise(i),
+        # of a pool of 10,000 the k-th with chance 1/(k (k + 1)): the tail of a Zipf law with exponent 2
+        "zipf2": F.floor(F.lit(float(MODULUS)) / (h + 1)).cast("bigint") % 10_000,
         "few_unique": h % 1000, "pool10": h % 10, "zipf": F.floor(F.lit(float(n)) / (h % n + 1)).cast("bigint"),
         "two_distinct": F.when(h % 2 == 0, 1).otherwise(2).cast("bigint"), "alternating": F.when(i % 2 == 0, 0).otherwise(255).cast("bigint"),
         "zeros": F.lit(0).cast("bigint"), "ones": F.lit(MODULUS - 1), "skew": F.when(h % 10 < 9, 7).otherwise(h).cast("bigint"),
     }[name]
 
 
-DISTRIBUTIONS = ["random", "sorted", "reverse", "sequential", "all_duplicates", "nearly_sorted", "few_unique", "pool10", "zipf", "two_distinct", "alternating", "zeros", "ones", "skew"]
+DISTRIBUTIONS = ["random", "sorted", "reverse", "sequential", "all_duplicates", "nearly_sorted", "few_unique", "pool10", "zipf", "zipf2", "two_distinct", "alternating", "zeros", "ones", "skew"]
 
 
 def records(spark: SparkSession, n: int, name: str = "random", seed: int = 42) -> DataFrame:
@@ -38,6 +40,17 @@ def records(spark: SparkSession, n: int, name: str = "random", seed: int = 42) -
     return spark.range(n).select("id", F.lpad(F.hex(distribution(name, n, seed)), 8, "0").alias("key"))
 
 
+def of_cardinality(spark: SparkSession, n: int, distinct: int, seed: int = 42) -> DataFrame:
+    """``id, key``: 32-bit keys of ``distinct`` values at most."""
+    return spark.range(n).select("id", (scramble(F.col("id"), seed) % distinct).alias("key"))
+
+
+def full_records(spark: SparkSession, n: int, record_size: int = 120, seed: int = 42) -> DataFrame:
+    """``id, rec``: records all of whose bytes vary, as hexadecimal digits."""
+    each = [F.lpad(F.hex(F.floor(scramble(F.col("id") * 1009 + p, seed) / 65536).cast("bigint") % 256), 2, "0") for p in range(record_size)]
+    return spark.range(n).select("id", F.concat(*each).alias("rec"))
+
+
 def varying_bytes(spark: SparkSession, n: int, width: int, varying: int, seed: int = 42) -> DataFrame:
     """Keys whose first ``varying`` bytes vary; the others are 0x42."""
     each = [F.lpad(F.hex(F.floor(scramble(F.col("id") * 131 + p, seed) / 65536).cast("bigint") % 256), 2, "0") for p in range(varying)]
