@@ -4,9 +4,8 @@ components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sortwright.operators import storage
+
 #: Text bytes that one slice of an Arrow batch holds at most (one row at least).
 SLICE_BYTES = 4 << 20
 
@@ -22,24 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is the cluster's
-    ``spark.checkpoint.dir``; only where that is unset (tests) one is made."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.conf.get("spark.sortwright.sharedDir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="sortwright-")
-        spark.conf.set("spark.sortwright.sharedDir", where)
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there,
-    so a lost executor costs the reread of its split only."""
+    so a lost executor costs the reread of its split only. The table is deleted by
+    ``discard`` or when the session ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = storage.new_path(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sortwright_path = path
@@ -71,6 +60,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+ODD = np.uint64(0xA0761D6478BD642F)
+
+
+@lru_cache(maxsize=1)
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for b in (int(ODD), pow(int(ODD), -1, 1 << 64)):
+        x = np.full(n, b, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x))
+    return tuple(out)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    size = 1 << max(12, (n - 1).bit_length())
+    power, inverse = _power_table(size)
+    return power[:n], inverse[:n]
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that column ``text`` of each slice has about ``limit``
     bytes at most; a longer single row comes alone."""
@@ -86,6 +95,21 @@ def slices(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = SLICE_
             start = stop
 
 
+#: A key with more than this share of the rows is joined by broadcast: there are fewer than 200 of them.
+HUB_SHARE = 200
+
+
+def hub_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table``, which has each ``key`` once with the number
+    ``c`` of the ``total`` rows that hold it. Keys of more than a 200th of the rows
+    meet by broadcast (fewer than 200 of them), the others by shuffle, so no
+    task gets more than that of one key."""
+    heavy, light = (table.filter(cond).drop("c") for cond in (F.col("c") > total / HUB_SHARE, F.col("c") <= total / HUB_SHARE))
+    hot = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return hot.unionByName(rest)
+
+
 def map_sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
     """Bring rows of equal ``keys`` together and call ``fn`` with each group as
     an Arrow table. Only one group is held at a time; callers bound its size.
@@ -166,7 +190,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     an edge don't appear.
 
     Alternating large-star and small-star steps (each a partial ``min`` per
-    node and an equi-join), so no component is ever gathered in one task and
+    node and an equi-join that sets nodes of many edges apart), so neither a
+    component nor the edges of its hub are ever gathered in one task, and
     none reaches the driver. Every round is written to the shared folder, and
     the last two are compared by a count and a checksum."""
 
@@ -174,8 +199,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         return r["n"], r["h"]
 
-    def least(e: DataFrame) -> DataFrame:
-        return e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    def with_least(e: DataFrame, total: int) -> DataFrame:
+        """The smallest neighbour ``m``, or the node itself, beside each edge."""
+        small = e.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"), F.count("*").alias("c"))
+        return hub_join(e, small, "a", total)
 
     e = materialize(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     was = state(e)
@@ -183,9 +210,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not was[0]:
             break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(least(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = with_least(both, 2 * was[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "large")
-        joined = large.join(least(large), "a")
+        joined = with_least(large, large.count())
         small = joined.select("a", F.col("m").alias("b")).union(joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         new = materialize(small, "small")
         now = state(new)

@@ -9,18 +9,22 @@
    width follows log2 of the number of classes, and their number the chance that
    a pair just at the threshold shares none (``miss``), measured on pairs made of
    the sample. Centring is left out where that is cheaper.
-4. Narrow rows (key, id, code) meet in the tables; classes that have a partner
-   within ``radius`` of the code's first bits stay, and only these go on with their
-   vectors. A table entry beyond ``chunk`` rows is cut into chunks and the chunks
+4. Narrow rows (key, id, code) meet in the tables; entries that have a partner
+   within ``radius`` of the code's first bits stay, and only for these the vectors
+   follow. A table entry beyond ``chunk`` rows is cut into chunks and the chunks
    meet pairwise, so every pair of the entry is compared in a task of bounded size.
 5. The original vectors rerank: cosine in double precision decides. A pair that
    shares several keys counts in the first only. A task emits per class the number
    of links and a spanning forest, never the pairs; connected components follow.
 
+Vectors of one length are compared with each other, each length with a code of
+its own; vectors of different lengths have no cosine.
+
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components, or of another length than most, link with nothing; rows of one
+components link with nothing; rows of one
 ``vec_id`` are one node and a null ``vec_id`` links with nothing and has null
-``component_id`` and ``kept``; an empty table gives an empty result.
+``component_id`` and ``kept``; an empty table gives an empty result; columns other
+than ``vec_id`` and ``embedding`` are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +35,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortwright.llm.common import UnionFind, connected_components, map_sorted_groups, materialize, whole_groups
+from sortwright.llm.common import UnionFind, connected_components, hub_join, map_sorted_groups, materialize, whole_groups
 
 
 @dataclass(frozen=True)
@@ -48,7 +53,7 @@ class EmbedConfig:
     slack: float = 6.0
 
 
-CODE_BITS = 1024  # narrow rows carry this much of the code, however many tables there are
+CODE_BITS = 256  # narrow rows carry this much of the code, however many tables there are
 MOST_TABLES = 1 << 14
 
 
@@ -173,55 +178,75 @@ def _links(ids: np.ndarray, v: np.ndarray, keys: np.ndarray, t: int, threshold:
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def near_duplicates(vectors: DataFrame, cfg: EmbedConfig = EmbedConfig()) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row."""
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     sane = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    good = rows.filter(sane)
-    lengths = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").head(1)
-    bare = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if not lengths:
-        return bare.withColumn("kept", F.when(F.col("vec_id").isNotNull(), F.lit(True)))
-    dim = lengths[0]["d"]
+    rest = rows.filter(~sane).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.when(F.col("vec_id").isNotNull(), F.lit(True)).alias("kept"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim) + 0.0  # -0.0 becomes 0.0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "v"])
+            ends = b.column(1).offsets.to_numpy()
+            flat = np.asarray(b.column(1).values.to_numpy(zero_copy_only=False), np.float64) + 0.0  # -0.0 becomes 0.0
+            raw = [flat[lo:hi].tobytes() for lo, hi in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends).astype(np.int32)), pa.array(raw, pa.binary()), pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary())], names=["vec_id", "d", "v", "digest"])
+
+    packed = rows.filter(sane).mapInArrow(pack, "vec_id long, d int, v binary, digest binary")
+    narrow = materialize(packed.select("vec_id", "digest"), "vectors")
+    classes = materialize(packed.groupBy("digest").agg(F.first("v").alias("v"), F.first("d").alias("d"), F.min("vec_id").alias("rid"), F.count("*").alias("m")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    # one row a length; each length is compared by itself
+    lengths = classes.groupBy("d").agg(F.count("*").alias("n"), F.sum("m").alias("rows")).orderBy("d").collect()
+    if not lengths:
+        return rest
+    n_rows, n_classes, found = sum(r["rows"] for r in lengths), sum(r["n"] for r in lengths), None
+    for r in lengths:
+        part = _links_of_length(classes.filter(F.col("d") == r["d"]), r["n"], r["d"], cfg)
+        found = part if found is None else found.unionByName(part)
+    found = materialize(found, "found")
+
+    several = narrow.groupBy("vec_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("vec_id")
+    of_id = narrow.join(several, "vec_id").distinct().join(classes.select("digest", "cid"), "digest").select("vec_id", "cid")
+    same_id = of_id.join(of_id.groupBy("vec_id").agg(F.min("cid").alias("b")), "vec_id").select(F.col("cid").alias("a"), "b")
+    comp = connected_components(found.filter("to is not null").select(F.col("cid").alias("a"), F.col("to").alias("b")).union(same_id)).withColumnRenamed("id", "cid")
+    links = found.filter("to is null").groupBy("cid").agg(F.sum("n").alias("n"))
+    of_class = materialize(classes.select("digest", "cid", "rid", "m").join(links, "cid", "left").join(comp, "cid", "left").select("digest", "rid", "m", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component")), "of-class")
+    first = of_class.groupBy("component").agg(F.min("rid").alias("component_id"), F.count("*").alias("c"))
+    of_class = hub_join(of_class, first, "component", n_classes).select("digest", "n_links", "component_id", F.col("m").alias("c"))
+    linked = hub_join(narrow, of_class, "digest", n_rows).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return linked.unionByName(rest)
+
 
-    packed = good.filter(F.size("v") == dim).mapInArrow(pack, "vec_id long, v binary")
-    # rows of one id with different vectors stay different classes of one node
-    classes = materialize(packed.groupBy("v").agg(F.min("vec_id").alias("rid"), F.count("*").alias("m")), "vectors")
-    n = classes.count()
+def _links_of_length(classes: DataFrame, n: int, dim: int, cfg: EmbedConfig) -> DataFrame:
+    """For the ``n`` classes of one length: rows ``cid, n`` with numbers of
+    linked vectors (of several tasks, to be summed), and rows ``cid, to`` with the
+    links of spanning forests."""
     order = F.xxhash64("v")
     share = min(1.0, 1.2 * cfg.sample_rows / n)
-    sample = classes.filter(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(order, "rid").limit(cfg.sample_rows).select("v").collect()
-    x = np.frombuffer(b"".join(bytes(r["v"]) for r in sample), np.float64).reshape(-1, dim)
-    scale = np.abs(x).max(axis=1, keepdims=True)
-    x = x / scale / np.linalg.norm(x / scale, axis=1, keepdims=True)
-    codes = learn_codes(x, n, cfg)
-
-    def unit(x: np.ndarray) -> np.ndarray:
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
+    sample = classes.filter(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(order, "cid").limit(cfg.sample_rows).select("v").collect()
+    codes = learn_codes(_unit(np.frombuffer(b"".join(bytes(r["v"]) for r in sample), np.float64).reshape(-1, dim)), n, cfg) if sample else learn_codes(np.eye(dim)[:1], n, cfg)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 s = b.slice(lo, 4096)
-                packed_bits, keys = codes.of(unit(_matrix(s.column(0), dim)))
+                packed_bits, keys = codes.of(_unit(_matrix(s.column(0), dim)))
                 offsets = pa.array(np.arange(0, (len(keys) + 1) * codes.tables, codes.tables, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([*s.columns, pa.array([r.tobytes() for r in packed_bits], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))], names=["v", "rid", "m", "code", "keys"])
+                yield pa.RecordBatch.from_arrays([*s.columns, pa.array([r.tobytes() for r in packed_bits], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.astype(np.int32).reshape(-1)))], names=["v", "cid", "m", "code", "keys"])
 
-    coded = materialize(classes.select("v", "rid", "m").mapInArrow(encode, "v binary, rid long, m long, code binary, keys array<long>"), "codes")
+    coded = materialize(classes.select("v", "cid", "m").mapInArrow(encode, "v binary, cid long, m long, code binary, keys array<int>"), "codes")
     entry = (F.col("t").cast("long") * (1 << 24) + F.col("k")).alias("key")
-    tabled = coded.select("rid", "code", F.posexplode("keys").alias("t", "k")).select(entry, "rid", "code")
+    tabled = coded.select("cid", "code", F.posexplode("keys").alias("t", "k")).select(entry, "cid", "code")
     large = tabled.groupBy("key").agg(F.count("*").alias("c"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, 0):
-            key, ids = t["key"].to_numpy(), t["rid"].to_numpy()
+            key, ids = t["key"].to_numpy(), t["cid"].to_numpy()
             bits = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint64).reshape(len(ids), -1)
             has = np.zeros(len(ids), bool)
             low = np.arange(len(ids))
@@ -234,45 +259,40 @@ def near_duplicates(vectors: DataFrame, cfg: EmbedConfig = EmbedConfig()) -> Dat
                 has[low[close]] = True
                 has[low[close] + step] = True
             if has.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids[has]))], names=["rid"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[has]), pa.array(ids[has])], names=["key", "cid"])
 
     # entries beyond a chunk pass without this test: their rows all go on
-    seats = large.filter(f"c between 2 and {cfg.chunk}")
-    tested = tabled.join(seats.select("key"), "key", "left_semi").select("key", "rid", "code").repartition("key").sortWithinPartitions("key").mapInArrow(near, "rid long")
-    crowded = large.filter(f"c > {cfg.chunk}").select("key", F.ceil(F.col("c") / cfg.chunk).cast("int").alias("chunks"))
-    going = materialize(tested.union(tabled.join(crowded, "key").select("rid")).distinct(), "partners")
-    alive = coded.join(going, "rid", "left_semi").select("rid", "m", "v", "keys", F.posexplode("keys").alias("t", "k")).select(entry, "t", "rid", "m", "v", "keys")
-    own = F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")
-    dealt = alive.join(crowded, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "t", "rid", "m", "v", "keys")
+    crowded = materialize(large.filter(f"c > {cfg.chunk}").select("key", "c", F.ceil(F.col("c") / cfg.chunk).cast("int").alias("chunks")), "crowded")
+    in_crowd = crowded.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    tested = tabled.join(large.filter(f"c between 2 and {cfg.chunk}").select("key"), "key", "left_semi").select("key", "cid", "code").repartition("key").sortWithinPartitions("key").mapInArrow(near, "key long, cid long").withColumn("chunks", F.lit(1))
+    going = tested
+    if in_crowd:
+        whole = tabled.select("key", "cid").join(crowded.select("key"), "key", "left_semi")
+        going = tested.union(hub_join(whole, crowded, "key", in_crowd).select("key", "cid", "chunks"))
+    dealt = going.join(coded.select("cid", "m", "v", "keys"), "cid").withColumn("own", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "cid", "m", "v", "keys")
 
     def rerank(group: pa.Table) -> Iterator[pa.RecordBatch]:
         if group.num_rows < 2:
             return
-        a, b, t = group["a"][0].as_py(), group["b"][0].as_py(), group["t"][0].as_py()
-        ids, m = group["rid"].to_numpy(), group["m"].to_numpy()
+        a, b, t = group["a"][0].as_py(), group["b"][0].as_py(), group["key"][0].as_py() >> 24
+        ids, m = group["cid"].to_numpy(), group["m"].to_numpy()
         x = _matrix(group["v"], dim)
         keys = np.array(group["keys"].combine_chunks().flatten().to_numpy()).reshape(len(ids), -1)
-        i, j = _links(ids, unit(x), keys, t, cfg.threshold, None if a == b else group["own"].to_numpy())
+        i, j = _links(ids, _unit(x), keys, t, cfg.threshold, None if a == b else group["own"].to_numpy())
         if not len(i):
             return
         uf, tree = UnionFind(len(ids)), []
         for p, q in zip(i.tolist(), j.tolist()):
-            if uf.union(p, q) and ids[p] != ids[q]:
+            if uf.union(p, q):
                 tree.append((int(ids[p]), int(ids[q])))
         add = np.bincount(i, m[j], len(ids)) + np.bincount(j, m[i], len(ids))
         at = np.flatnonzero(add)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(group["v"].take(pa.array(at)).combine_chunks().to_pylist(), pa.binary()), pa.array(add[at].astype(np.int64)), pa.nulls(len(at), pa.int64())], names=["rid", "v", "n", "to"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(add[at].astype(np.int64)), pa.nulls(len(at), pa.int64())], names=["cid", "n", "to"])
         if tree:
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in tree], pa.int64()), pa.nulls(len(tree), pa.binary()), pa.nulls(len(tree), pa.int64()), pa.array([q for _, q in tree], pa.int64())], names=["rid", "v", "n", "to"])
-
-    found = materialize(map_sorted_groups(dealt, ["key", "a", "b"], rerank, "rid long, v binary, n long, to long"), "found")
-    comp = connected_components(found.filter("to is not null").select(F.col("rid").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "rid")
-    links = found.filter("to is null").groupBy("v").agg(F.sum("n").alias("n"))
-    of_class = classes.join(links, "v", "left").join(comp, "rid", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rid").alias("component_id"))
-    linked = packed.join(of_class, "v").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    rest = rows.filter(~sane | (F.size("v") != dim)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.when(F.col("vec_id").isNotNull(), F.lit(True)).alias("kept"))
-    return linked.unionByName(rest)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in tree], pa.int64()), pa.nulls(len(tree), pa.int64()), pa.array([q for _, q in tree], pa.int64())], names=["cid", "n", "to"])
+
+    return map_sorted_groups(dealt, ["key", "a", "b"], rerank, "cid long, n long, to long")
 
 
 #: All pairs by cosine in double precision.

@@ -15,12 +15,16 @@
    every member outside its main component against all others, so that no
    candidate pair of different components stays untested.
 
+Keys that many rows share (a set with many copies, a band key, a leader, the hub
+of a component) are joined apart from the others (``hub_join``).
+
 Defined cases: null or word-less text has an empty set, links with nothing and
 is its own component; fewer words than a shingle give the whole sequence as the
 one shingle; rows of one ``doc_id`` that have words are one node, which all of
 their texts link; a null ``doc_id`` gets null
 ``component_id`` and ``kept``; an empty table gives an empty result. Shingles
-are compared as 64-bit hashes, sets as 128-bit digests.
+are compared as 64-bit hashes, sets as 128-bit digests. ``keep_one`` judges texts,
+not ids: unlike texts of one ``doc_id`` both stay.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortwright.llm.common import UnionFind, connected_components, discard, map_sorted_groups, materialize, mix64, slices, words_of
+from sortwright.llm.common import UnionFind, connected_components, hub_join, map_sorted_groups, materialize, mix64, slices, words_of
 
 U = np.uint64
 
@@ -136,19 +140,25 @@ def band_keys(sig: np.ndarray, cfg: NearDupConfig) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, th, text``: a text and its hash, which tells texts of one id."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
 def signatures(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """``doc_id, n_shingles, digest, bands`` for each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """``doc_id, th, n_shingles, digest, bands`` for each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=1 << 20):
-            sets = shingle_sets(b.column(1).to_pylist(), cfg.shingle)
+        for b in slices(batches, 2, limit=1 << 20):
+            sets = shingle_sets(b.column(2).to_pylist(), cfg.shingle)
             keys = band_keys(superminhash(sets, cfg.slots, cfg.seed), cfg)
             full = np.fromiter((len(s) > 0 for s in sets), bool, len(sets))
             ends = np.concatenate(([0], np.cumsum(np.where(full, cfg.bands, 0)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].reshape(-1)))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].reshape(-1)))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, th long, n_shingles long, digest binary, bands array<long>")
 
 
 def forest(rids: np.ndarray, sets: list[np.ndarray], cfg: NearDupConfig, comp: np.ndarray | None = None, fresh: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -187,62 +197,107 @@ def _edges(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=EDGE)
 
 
-def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``
-    (columns ``doc_id`` and ``text``; others are ignored)."""
+@dataclass
+class Classes:
+    """Equal sets as one class: ``sigs`` (rows), ``table`` (digest, cid, rep, c:
+    rows), ``links`` between classes, and ``component`` (digest, first: the
+    smallest rep of the class's component, c)."""
+
+    sigs: DataFrame
+    sane: DataFrame
+    table: DataFrame
+    component: DataFrame
+    n_rows: int
+    repeated: bool
+
+
+def classify(docs: DataFrame, cfg: NearDupConfig, by_id: bool) -> Classes:
+    """Components of the documents' classes; with ``by_id`` the classes of one
+    ``doc_id`` are linked too."""
     sigs = materialize(signatures(docs, cfg), "sigs")
-    classes = materialize(sigs.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    # texts of one doc_id: their classes are linked (no rows where doc_id is unique)
-    sane = sigs.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "digest")
-    several = sane.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("doc_id")
-    of_id = sane.join(several, "doc_id").join(classes.select("digest", "rid"), "digest").select("doc_id", "rid")
-    same_id = of_id.join(of_id.groupBy("doc_id").agg(F.min("rid").alias("least")), "doc_id").select(F.col("rid").alias("a"), F.col("least").alias("b"))
-    bands = classes.select("rid", "n", F.explode("bands").alias("key"))
-    heads = bands.groupBy("key").agg(F.min("rid").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    members = materialize(bands.join(heads, "key").select("leader", "rid", "n").distinct(), "members")
-    sizes = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / cfg.chunk_docs), F.ceil(F.sum("n") / cfg.chunk_shingles)).cast("int").alias("chunks"), F.countDistinct("rid").alias("ids")).filter("ids > 1").drop("ids")
-    placed = members.select("leader", "rid").distinct().join(sizes, "leader")
-    own = F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")
-    spread = F.when(F.col("rid") == F.col("leader"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
-    seats = placed.select("leader", "rid", F.explode(spread).alias("chunk"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rid"), F.col("text").cast("string").alias("text"))
+    sane = sigs.filter("n_shingles > 0 and doc_id is not null")
+    classes = materialize(sane.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("c")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    n_rows, n_classes = classes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    repeated = bool(sane.groupBy("doc_id", "th").agg(F.count("*").alias("k")).filter("k > 1").head(1))
+
+    bands = classes.select("cid", "n", F.explode("bands").alias("key"))
+    heads = bands.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("c")).filter("c > 1")
+    members = materialize(hub_join(bands, heads, "key", cfg.bands * n_classes).select("leader", "cid", "n").distinct(), "members")
+    sizes = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / cfg.chunk_docs), F.ceil(F.sum("n") / cfg.chunk_shingles)).cast("int").alias("chunks"), F.count("*").alias("c")).filter("c > 1")
+    placed = hub_join(members.select("leader", "cid"), sizes, "leader", members.count())
+    own = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
+    spread = F.when(F.col("cid") == F.col("leader"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
+    seats = placed.select("leader", "cid", F.explode(spread).alias("chunk"))
+    texts = keyed(docs).filter("doc_id is not null")
+    if repeated:  # equal rows give one text
+        texts = texts.groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+    reps = classes.select("cid", "rep.doc_id", "rep.th")
+
+    def with_text(seats: DataFrame) -> DataFrame:
+        return texts.join(seats.join(reps, "cid"), ["doc_id", "th"])
 
     def link(group: pa.Table) -> Iterator[pa.RecordBatch]:
         if group.num_rows > 1:
-            yield from _edges(forest(group["rid"].to_numpy(), shingle_sets(group["text"].to_pylist(), cfg.shingle), cfg))
-
-    edges = materialize(map_sorted_groups(texts.join(seats, "rid").select("leader", "chunk", "rid", "text"), ["leader", "chunk"], link, "a long, b long").union(same_id), "links")
+            yield from _edges(forest(group["cid"].to_numpy(), shingle_sets(group["text"].to_pylist(), cfg.shingle), cfg))
+
+    found = map_sorted_groups(with_text(seats).select("leader", "chunk", "cid", "text"), ["leader", "chunk"], link, "a long, b long")
+    if by_id:
+        several = sane.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("doc_id")
+        of_id = sane.join(several, "doc_id").select("doc_id", "digest").distinct().join(classes.select("digest", "cid"), "digest").select("doc_id", "cid")
+        found = found.union(of_id.join(of_id.groupBy("doc_id").agg(F.min("cid").alias("least")), "doc_id").select(F.col("cid").alias("a"), F.col("least").alias("b")))
+    edges = materialize(found, "links")
     comp = materialize(connected_components(edges), "comp")
 
     # leaders with several chunks: what is outside the main component meets all other chunks
-    large = placed.filter("chunks > 1").join(comp.withColumnRenamed("id", "rid"), "rid", "left").select("leader", "rid", "chunks", F.coalesce("component", "rid").alias("comp"))
-    counts = large.groupBy("leader", "comp").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("leader").agg(F.max(F.struct("c", "comp")).getField("comp").alias("main"), F.count("*").alias("k"), F.sum("c").alias("all"), F.max("c").alias("most")).filter("k > 1")
-    blocks = F.ceil((F.col("all") - F.col("most")) / cfg.chunk_docs).cast("int")
-    large = materialize(large.join(mixed.select("leader", "main", blocks.alias("blocks")), "leader").withColumn("odd", F.col("comp") != F.col("main")), "large")
-    if large.head(1):
-        as_member = large.select("leader", own.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rid", "comp", F.lit(False).alias("fresh"))
-        as_odd = large.filter("odd").select("leader", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("rid", F.lit(7)), F.col("blocks")).cast("int").alias("block"), "rid", "comp", F.lit(True).alias("fresh"))
+    large = placed.filter("chunks > 1").join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("leader", "cid", "chunks", F.coalesce("component", "cid").alias("comp"))
+    counts = large.groupBy("leader", "comp").agg(F.count("*").alias("k"))
+    mixed = counts.groupBy("leader").agg(F.max(F.struct("k", "comp")).getField("comp").alias("main"), F.count("*").alias("comps"), F.sum("k").alias("c"), F.max("k").alias("most")).filter("comps > 1")
+    blocks = F.ceil((F.col("c") - F.col("most")) / cfg.chunk_docs).cast("int")
+    mixed = materialize(mixed.select("leader", "main", blocks.alias("blocks"), "c"), "mixed")
+    if mixed.head(1):
+        large = materialize(hub_join(large, mixed, "leader", mixed.agg(F.sum("c")).first()[0]).withColumn("odd", F.col("comp") != F.col("main")), "large")
+        as_member = large.select("leader", own.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cid", "comp", F.lit(False).alias("fresh"))
+        as_odd = large.filter("odd").select("leader", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int").alias("block"), "cid", "comp", F.lit(True).alias("fresh"))
 
         def relink(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            yield from _edges(forest(group["rid"].to_numpy(), shingle_sets(group["text"].to_pylist(), cfg.shingle), cfg, group["comp"].to_numpy(), group["fresh"].to_numpy(zero_copy_only=False)))
+            yield from _edges(forest(group["cid"].to_numpy(), shingle_sets(group["text"].to_pylist(), cfg.shingle), cfg, group["comp"].to_numpy(), group["fresh"].to_numpy(zero_copy_only=False)))
 
-        again = texts.join(as_member.union(as_odd), "rid").select("leader", "chunk", "block", "rid", "comp", "fresh", "text")
+        again = with_text(as_member.union(as_odd)).select("leader", "chunk", "block", "cid", "comp", "fresh", "text")
         more = map_sorted_groups(again, ["leader", "chunk", "block"], relink, "a long, b long")
-        comp = connected_components(edges.union(more))
-    of_class = classes.select("digest", "rid").join(comp.withColumnRenamed("id", "rid"), "rid", "left").select("digest", F.coalesce("component", "rid").alias("component"))
-    out = sigs.drop("bands").join(of_class, "digest", "left")
-    comp_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), (F.col("doc_id") == comp_id).alias("kept"))
+        comp = materialize(connected_components(edges.union(more)), "comp")
+    of_class = materialize(classes.select("digest", "cid", "rep", "c").join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("digest", "rep", "c", F.coalesce("component", "cid").alias("component")), "of-class")
+    firsts = of_class.groupBy("component").agg(F.min("rep").alias("first"), F.count("*").alias("c"))
+    rows = of_class.withColumnRenamed("c", "rows")
+    component = hub_join(rows, firsts, "component", n_classes).select("digest", "rep", "first", F.col("rows").alias("c"))
+    return Classes(sigs, sane, classes, component, n_rows, repeated)
+
+
+def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``
+    (columns ``doc_id`` and ``text``; others are ignored)."""
+    found = classify(docs, cfg, by_id=True)
+    of_class = found.component.select("digest", F.col("first.doc_id").alias("component_id"), "c")
+    linked = hub_join(found.sane.select("doc_id", "n_shingles", "digest"), of_class, "digest", found.n_rows).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    rest = found.sigs.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.lit(True)).alias("kept"))
+    return linked.unionByName(rest)
 
 
 def keep_one(docs: DataFrame, cfg: NearDupConfig = FIVE_WORDS) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row of the
-    smallest ``doc_id`` stays, once; rows without ``doc_id`` stay. All columns
-    and types are kept."""
-    kept = near_duplicates(docs, cfg).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    ids = docs.filter("doc_id is not null")
-    return ids.join(kept, ids["doc_id"].cast("long") == kept["__kept"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """``docs`` without near-duplicates: of each component of texts the row of
+    the smallest ``doc_id`` stays (of that id's texts in it, the one of the smallest
+    hash; of rows equal in both, the one whose columns as JSON come first). Rows
+    without ``doc_id`` and rows without words stay, repeated or not. All columns and
+    types are kept."""
+    found = classify(docs, cfg, by_id=False)
+    stay = found.component.select(F.col("first.doc_id").alias("__id"), F.col("first.th").alias("__th")).distinct()
+    bare = found.sigs.filter("n_shingles = 0 and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    key = [F.col("doc_id").cast("long") == F.col("__id"), F.xxhash64(F.col("text").cast("string")) == F.col("__th")]
+    if not found.repeated:
+        return docs.join(stay.union(bare), key, "left_semi").unionByName(docs.filter("doc_id is null"))
+    once = docs.join(stay, key, "left_semi")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = once.groupBy(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))).agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+    return one.unionByName(docs.join(bare, key, "left_semi")).unionByName(docs.filter("doc_id is null"))
 
 
 #: The same links, by comparing all sets that share a shingle.

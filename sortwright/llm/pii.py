@@ -3,7 +3,8 @@
 1. One pass detects entities and emits each distinct (kind, canonical form) of
    its slice; a shuffle makes the corpus-wide table of distinct entities.
 2. Every entity gets a surrogate from a keyed hash: same kind, length, script,
-   gender and format. The collision check looks for entities of one kind that
+   gender and format (names in scripts without a pool of their own are letters of the
+   same script, whatever the gender). The collision check looks for entities of one kind that
    share a surrogate and for surrogates that are entities of the corpus
    themselves; the losers draw again until all are distinct. Later draws may be
    longer or leave their prefix or range, so that a crowded kind has room; only IP
@@ -15,21 +16,27 @@
 Equal entities get equal surrogates in all documents (coreference), also when
 written in other formats; different ones get different ones (distinctness).
 
+The key has no default: without it anyone could recompute the surrogates.
+
 Defined cases: null text stays null; text without entities stays as it is;
-repeated rows are rewritten alike; other columns and extra columns are kept.
+repeated rows are rewritten alike; other columns and extra columns are kept; a text
+may hold any number of entities (finds are marked, not compared with each other).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
@@ -41,11 +48,22 @@ LOWER, UPPER, DIGIT, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 
 @dataclass(frozen=True)
 class PiiConfig:
-    key: bytes = b"replace this key in production"
+    key: bytes
     broadcast_rows: int = 200_000
     max_draws: int = 50
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The session's ``spark.sortwright.pii.secret``; where none is set, a random one
+    for this session, so that surrogates of two sessions don't agree."""
+    name = "spark.sortwright.pii.secret"
+    key = spark.conf.get(name, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(name, key)
+    return key.encode()
+
+
 # -- detection -------------------------------------------------------------
 
 _AT = re.compile(r"@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
@@ -94,9 +112,13 @@ def detect(text: str) -> list[Span]:
     """Entities in order, none overlapping another; of overlapping finds the
     kind tried first stays, but a secret stays whole."""
     found: list[Span] = []
+    taken = bytearray()
 
     def add(lo: int, hi: int, kind: str, canon: str) -> None:
-        if all(hi <= a or lo >= b for a, b, _, _ in found):
+        nonlocal taken
+        taken = taken or bytearray(len(text))
+        if taken.find(1, lo, hi) < 0:
+            taken[lo:hi] = b"\x01" * (hi - lo)
             found.append((lo, hi, kind, canon))
 
     if "@" in text:
@@ -132,15 +154,26 @@ def detect(text: str) -> list[Span]:
         for m in each(_IBAN):
             add(m.start(), m.end(), "iban", m[0].replace(" ", ""))
     if "=" in text or ":" in text:
+        found.sort()
+        starts, inside = [x[0] for x in found], set()
         for m in _SECRET.finditer(text):
             value = m[m.lastindex].rstrip(".")
             lo = m.start(m.lastindex)
             hi = lo + len(value)
             if len(value) >= 6 and _is_secret(value, m.lastindex == 2):
                 # what was found strictly inside the value is part of it
-                if not any(a <= lo and hi <= b for a, b, _, _ in found) and all(lo <= a and b <= hi for a, b, _, _ in found if a < hi and lo < b):
-                    found[:] = [x for x in found if x[1] <= lo or x[0] >= hi]
+                k = max(0, bisect_left(starts, lo) - 1)
+                within = []
+                while k < len(starts) and starts[k] < hi:
+                    if found[k][1] > lo:
+                        within.append(k)
+                    k += 1
+                whole = all(lo <= found[k][0] and found[k][1] <= hi and found[k][:2] != (lo, hi) for k in within)
+                if within and whole:
+                    inside.update(within)
+                    taken[lo:hi] = bytes(hi - lo)
                 add(lo, hi, "secret", value)
+        found = [x for k, x in enumerate(found) if k not in inside]
     for m in _NAME.finditer(text) if _ADDRESSED.search(text) else ():
         kind = "m" if m[1] in _MALE else "f"
         last = 3 if m[3] else 2
@@ -161,6 +194,14 @@ _GIVEN = {
 _SYLLABLES = {"LATIN": "ba den fel gar hol kan lin mor nes pol rin sel tor van wel zan", "CYRILLIC": "ба вел гор дан зим кор лин мар нов пол рин сол тар фед хол чер", "GREEK": "βα γορ δαν ζιμ καρ λιν μαρ νικ παλ ριν σολ ταρ φιλ χαλ ψαλ θεο"}
 
 
+@lru_cache(maxsize=256)
+def _page(name: str, first: int) -> str:
+    """The letters of a script among the 256 characters from ``first`` on,
+    without capitals."""
+    some = (chr(c) for c in range(first, first + 256))
+    return "".join(c for c in some if unicodedata.category(c) in ("Ll", "Lo") and script(c) == name)
+
+
 class Draw:
     """An endless keyed stream of choices."""
 
@@ -228,6 +269,8 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
         check = 98 - int("".join(str(int(c, 36)) for c in body + canon[:2] + "00")) % 97
         return f"{canon[:2]}{check:02d}{body}"
     kind, *rest = kind.split(" ")
+    if rest[-1] not in _SYLLABLES and (page := _page(rest[-1], ord(canon[0]) & ~255)):
+        return "".join(d.of(page) for _ in range(min(len(canon), 12) + attempt // 4))
     if kind == "given":
         pool = _GIVEN.get(rest[1], _GIVEN["LATIN"])[rest[0]].split(" ")
         # beyond the pool's size compounds keep names distinct
@@ -286,7 +329,7 @@ def _drawn(key: bytes) -> Callable:
     return run
 
 
-def surrogates(docs: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
+def surrogates(docs: DataFrame, cfg: PiiConfig) -> DataFrame:
     """``kind, canon, attempt, surr``: the surrogate of each distinct entity,
     distinct within a kind and never an entity of the corpus itself."""
     schema = "kind string, canon string, attempt int, surr string"
@@ -307,9 +350,11 @@ def surrogates(docs: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {cfg.max_draws} draws; the largest kind has too few of them")
 
 
-def replace_pii(docs: DataFrame, cfg: PiiConfig = PiiConfig(), kinds: str | None = None) -> DataFrame:
+def replace_pii(docs: DataFrame, cfg: PiiConfig, kinds: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``; all columns and types are kept.
-    With ``kinds`` a column of that name lists the replaced kinds, in order."""
+    With ``kinds`` a column of that name (underscores are appended where ``docs``
+    has one) lists the replaced kinds, in order."""
+    kinds = kinds and spare(kinds, docs.columns)
     redrawn = surrogates(docs, cfg).filter("attempt > 0").drop("attempt")
     if redrawn.limit(cfg.broadcast_rows + 1).count() <= cfg.broadcast_rows:
         special = {(r["kind"], r["canon"]): r["surr"] for r in redrawn.collect()}

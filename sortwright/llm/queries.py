@@ -54,7 +54,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace_pii(docs, kinds="kinds").withColumn("text_crc32", F.crc32(utf8("text")))
+    return pii.replace_pii(docs, pii.PiiConfig(pii.session_key(spark)), kinds="kinds").withColumn("text_crc32", F.crc32(utf8("text")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -32,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sortwright.llm.common import shared_dir, utf8
+from sortwright.llm.common import utf8
+from sortwright.operators.storage import shared_dir
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
