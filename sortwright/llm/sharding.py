@@ -7,8 +7,8 @@ one at most:
    shared folder, which fixes the source partitions for good.
 2. From the partition sizes and the exact shard sizes, the matrix "rows from
    partition p to shard s" is drawn from its exact law (one multivariate
-   hypergeometric draw a partition). It has partitions x shards entries and is
-   the only thing that reaches the driver.
+   hypergeometric draw a partition). It has partitions x shards entries, is the
+   only thing that reaches the driver, and is broadcast once.
 3. Each partition permutes its rows locally and deals them out by its line of
    the matrix.
 4. After the exchange every shard is permuted again: each row has a random
@@ -24,6 +24,7 @@ same source partitions the result is the same.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,37 +51,38 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
             if not left:
                 break
             rest -= int(free[s])
-            # numpy's sampler is limited to populations of 1e9; larger ones are drawn in halves of the same law
-            k = _hypergeometric(rng, int(free[s]), rest, left)
+            k = hypergeometric(rng, int(free[s]), rest, left)
             out[p, s] = k
             left -= k
         free -= out[p]
     return out
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of ``n`` drawn from ``good + bad`` are good."""
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` drawn from ``good + bad`` are good. numpy's sampler takes
+    populations below 1e9; larger ones go by inversion."""
+    if not good or not n:
+        return 0
     if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n)) if good and n else 0
-    if n > (good + bad) // 2:
-        return good - _hypergeometric(rng, good, bad, good + bad - n)
-    k, g, b, left = 0, good, bad, n
-    while left:  # one at a time from a shrinking urn, in blocks short enough for the binomial to be exact in law
-        step = 1 if left < 64 else max(1, min(left, int((g + b) ** 0.25)))
-        got = int((rng.random(step) * (g + b - np.arange(step)) < g).sum()) if step == 1 else _block(rng, g, b, step)
-        k, g, b, left = k + got, g - got, b - (step - got), left - step
-    return k
-
-
-def _block(rng: np.random.Generator, g: int, b: int, step: int) -> int:
-    """Good ones among ``step`` sequential draws without replacement."""
-    got = 0
-    for u in rng.random(step).tolist():
-        if u * (g + b) < g:
-            got, g = got + 1, g - 1
-        else:
-            b -= 1
-    return got
+        return int(rng.hypergeometric(good, bad, n))
+    return _by_inversion(rng.random(), good, bad, n)
+
+
+def _by_inversion(u: float, good: int, bad: int, n: int) -> int:
+    """The value whose cumulated chance first passes ``u``. Chances come from the
+    ratios of neighbours, outwards from the mode to 14 standard deviations and 64
+    (what is beyond has a chance below 1e-30), so the work grows with the deviation
+    and not with the population or the draws."""
+    lo, hi = max(0, n - bad), min(n, good)
+    mode = min(hi, max(lo, (n + 1) * (good + 1) // (good + bad + 2)))
+    share = good / (good + bad)
+    wide = int(14 * math.sqrt(n * share * (1 - share) * (1 - n / (good + bad)))) + 64
+    a, b = max(lo, mode - wide), min(hi, mode + wide)
+    k = np.arange(a, b, dtype=np.float64)  # the step from k to k + 1
+    step = np.log((good - k) * (n - k)) - np.log((k + 1) * (bad - n + k + 1))
+    logs = np.concatenate(([0.0], np.cumsum(step)))
+    chance = np.cumsum(np.exp(logs - logs[mode - a]))
+    return a + min(int(np.searchsorted(chance, u * chance[-1], "right")), b - a)
 
 
 def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 20_240_601, block_rows: int = 4096) -> DataFrame:
@@ -91,7 +93,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 20_240_601, block_r
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32")).checkpoint()
     sizes = {r["p"]: r["n"] for r in narrow.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
     order = sorted(sizes)
-    matrix = dict(zip(order, communication_matrix([sizes[p] for p in order], shards, seed)))
+    matrix = spark.sparkContext.broadcast(dict(zip(order, communication_matrix([sizes[p] for p in order], shards, seed))))
     blocks = max(1, -(-sum(sizes.values()) // (shards * block_rows)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +102,12 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 20_240_601, block_r
         if not rows:
             return
         t = pa.Table.from_batches(rows)
-        if t.num_rows != int(matrix[p].sum()):
-            raise RuntimeError(f"partition {p} has {t.num_rows} rows, counted {matrix[p].sum()}")
+        mine = matrix.value[p]
+        if t.num_rows != int(mine.sum()):
+            raise RuntimeError(f"partition {p} has {t.num_rows} rows, counted {mine.sum()}")
         rng = np.random.Generator(np.random.PCG64([seed, 2, p]))
         shard = np.empty(t.num_rows, np.int32)
-        shard[rng.permutation(t.num_rows)] = np.repeat(np.arange(shards, dtype=np.int32), matrix[p])
+        shard[rng.permutation(t.num_rows)] = np.repeat(np.arange(shards, dtype=np.int32), mine)
         place = rng.integers(0, 1 << 63, t.num_rows, dtype=np.int64)
         block = (place >> 32) * blocks >> 31
         t = t.append_column("shard", pa.array(shard)).append_column("block", pa.array(block)).append_column("place", pa.array(place))
