@@ -3,8 +3,11 @@
 A text is escaped (a leading space is added, spaces become U+2581) and cut
 wherever two neighbouring characters never stand side by side in any piece: no
 piece crosses such a cut, so the lattice of pieces factors there exactly. For
-each distinct unit of a slice the forward filter computes the log mass of every
-prefix, all units at once in numpy. Backward sampling then walks every occurrence
+each distinct unit of a slice (found by a hash, confirmed by its characters) the
+forward filter computes the log mass of every
+prefix, all units at once in numpy; units of more than ``LONG`` characters go one by
+one, with their pieces found by blocks and only those kept, so time and memory grow
+with their length. Backward sampling then walks every occurrence
 from its end: the last piece is drawn in proportion to (mass of the prefix before
 it) x (its probability). The random numbers are a hash of (seed, row key,
 occurrence, step), so a row gets the same segmentation wherever and however
@@ -16,12 +19,14 @@ A character that no piece covers is spelled in byte pieces, and so is U+2581
 itself, which is why decoding returns the very text.
 
 Defined cases: null text has null ids; empty text has none; a null row key counts
-as key 0; very long units need no cut and no recursion.
+as key 0; a unit may be as long as its text (about 60 bytes of memory a character);
+result columns get underscores where the frame has one of their name.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,15 +35,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from sortwright.llm.common import mix64, slices
+from sortwright.llm.common import mix64, slices, spare
 
 U = np.uint64
 #: U+2581 stands for a space; a lone surrogate, which no text holds, for U+2581.
 SPACE, RAW = "\u2581", "\ud800"
-BASE, GOLD, ODD = U(0x100000001B3), U(0x9E3779B97F4A7C15), U(0xA0761D6478BD642F)
+BASE, GOLD = U(0x100000001B3), U(0x9E3779B97F4A7C15)
+#: Units of more characters are treated one by one.
+LONG = 64
 
 
 @dataclass(frozen=True)
@@ -50,6 +56,42 @@ class PieceConfig:
     slice_bytes: int = 1 << 20
 
 
+@dataclass
+class LongUnit:
+    """A long unit's pieces by their last position: from ``ptr[i]`` to
+    ``ptr[i + 1]`` those that end with character i, with cumulated masses."""
+
+    ptr: np.ndarray
+    size: np.ndarray
+    cum: np.ndarray
+    ids: np.ndarray
+
+    def walk(self, draws: Iterator[float]) -> tuple[list[int], list[int]]:
+        """Sampled pieces, last first, and where they begin."""
+        ids, begin, at = [], [], len(self.ptr) - 1
+        while at:
+            lo, hi = int(self.ptr[at - 1]), int(self.ptr[at])
+            mine = self.cum[lo:hi].tolist()
+            k = lo + min(bisect_right(mine, next(draws) * mine[-1]), hi - lo - 1)
+            at -= int(self.size[k])
+            ids.append(int(self.ids[k]))
+            begin.append(at)
+        return ids, begin
+
+
+def _draw(state: np.ndarray, step: int | np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) of 24 bits."""
+    return (mix64(state + U(0xD1342543DE82EF95) * np.asarray(step, U)) >> U(40)).astype(np.float32) / np.float32(1 << 24)
+
+
+def _draws(state: int) -> Iterator[float]:
+    """The draws of one occurrence, made in blocks."""
+    step, block = 0, 64
+    while True:
+        yield from _draw(np.full(block, state, U), np.arange(step, step + block)).tolist()
+        step, block = step + block, min(4 * block, 1 << 14)
+
+
 class Lattice:
     """The vocabulary, ready for lookups of many substrings at once."""
 
@@ -174,6 +216,46 @@ class Lattice:
             cum[lo : lo + k, :w] = x.T
         return place, start, cum, piece
 
+    def long_forward(self, code: np.ndarray, block: int = 1 << 15) -> LongUnit:
+        """The same for one long unit: its pieces by blocks of positions, then
+        the prefixes' masses one after the other over the pieces there are."""
+        n, found = len(code), []
+        power = [U(pow(int(BASE), k, 1 << 64)) for k in range(self.longest)]
+        for lo in range(0, n, block):
+            hi = min(n, lo + block)
+            h = np.zeros(hi - lo, U)
+            for m in range(1, min(self.longest, hi) + 1):
+                skip = max(0, m - 1 - lo)  # positions with fewer than m characters before them
+                h[skip:] += (code[lo + skip - m + 1 : hi - m + 1] + U(1)) * power[m - 1]
+                at, p = self.find(h[skip:])
+                at += skip
+                found.append((lo + at, np.full(len(at), m), self.logp[p], self.ids[p]))
+                if m == 1:
+                    alone = np.setdiff1d(np.arange(hi - lo), at)
+                    c = code[lo + alone].astype(np.int64)
+                    c[c == ord(RAW)] = ord(SPACE)
+                    found.append((lo + alone, np.ones(len(alone), np.int64), self.unseen * (1.0 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)), np.full(len(alone), -2)))
+        end = np.concatenate([f[0] for f in found])
+        order = np.argsort(end, kind="stable")
+        size, logp, ids = (np.concatenate([f[k] for f in found])[order] for k in (1, 2, 3))
+        ptr = np.concatenate(([0], np.cumsum(np.bincount(end, minlength=n))))
+        alpha, cum = [0.0] * (n + 1), np.empty(len(logp))
+        for lo in range(0, n, block):
+            hi = min(n, lo + block)
+            cut = ptr[lo : hi + 1].tolist()
+            sizes, masses = size[cut[0] : cut[-1]].tolist(), logp[cut[0] : cut[-1]].tolist()
+            shares: list[float] = []
+            for i in range(lo, hi):
+                a, b = cut[i - lo] - cut[0], cut[i - lo + 1] - cut[0]
+                x = [alpha[i + 1 - sizes[k]] + masses[k] for k in range(a, b)]
+                top, total = max(x), 0.0
+                for v in x:
+                    total += math.exp(v - top)
+                    shares.append(total)
+                alpha[i + 1] = top + math.log(total)
+            cum[cut[0] : cut[-1]] = shares
+        return LongUnit(ptr, size.astype(np.int32), cum, ids.astype(np.int32))
+
     def sample(self, texts: list[str], keys: np.ndarray, seed: int) -> list[np.ndarray]:
         """Ids of each (non-empty) text."""
         marked = [SPACE + t.replace(SPACE, RAW).replace(" ", SPACE) for t in texts]
@@ -184,35 +266,43 @@ class Lattice:
         cut[ends[:-1]] = True
         first = np.flatnonzero(cut)
         n = np.diff(np.append(first, len(code)))
-        # equal units have equal hashes: differences of prefix sums, shifted to position 0
-        power, inverse = _powers(len(code))
-        sums = np.concatenate((np.zeros(1, U), np.cumsum((code + U(1)) * power)))
-        h = mix64((sums[first + n] - sums[first]) * inverse[first] + n.astype(U) * GOLD)
-        _, one, of = np.unique(h, return_index=True, return_inverse=True)
-        place, start, cum, piece = self.forward(code, first[one], n[one])
+        one, of = self._distinct(code, first, n)
+        short = n[one] <= LONG
+        place = np.zeros(len(one), np.int64)
+        if short.any():
+            place[short], start, cum, piece = self.forward(code, first[one[short]], n[one[short]])
         row = np.searchsorted(ends, first, "right")
         per = np.bincount(row, minlength=len(texts))
         nth = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
         state = mix64(mix64(keys.astype(np.int64).view(U) ^ mix64(np.array([seed], U)))[row] + nth.astype(U) * GOLD)
         where, at = place[of], n.copy()
-        live = np.arange(len(of))
+        live = np.flatnonzero(short[of])
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(live):
             r = start[at[live]] + where[live]
-            u = (mix64(state[live] + U(len(got) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)) >> U(40)).astype(np.float32) / np.float32(1 << 24)
-            k = (cum[r] > u[:, None]).argmax(axis=1)
+            k = (cum[r] > _draw(state[live], len(got))[:, None]).argmax(axis=1)
             at[live] -= k + 1
             got.append((live, piece[r, k], at[live]))
             live = live[at[live] > 0]
+        walks, held = [], {}
+        for o in np.flatnonzero(~short[of])[np.argsort(of[~short[of]], kind="stable")].tolist():
+            if int(of[o]) not in held:  # one long unit at a time
+                held = {int(of[o]): self.long_forward(code[first[o] : first[o] + n[o]])}
+            walks.append((o, *held[int(of[o])].walk(_draws(int(state[o])))))
         # occurrence o took steps[o] steps from its end; its first piece was drawn last
         steps = np.zeros(len(of), np.int64)
         for o, _, _ in got:
             steps[o] += 1
+        for o, i, _ in walks:
+            steps[o] = len(i)
         last = np.cumsum(steps)
         ids, begin = np.empty(int(last[-1]), np.int32), np.empty(int(last[-1]), np.int64)
         for s, (o, i, b) in enumerate(got):
             ids[last[o] - 1 - s] = i
             begin[last[o] - 1 - s] = b
+        for o, i, b in walks:
+            ids[last[o] - len(i) : last[o]] = i[::-1]
+            begin[last[o] - len(i) : last[o]] = b[::-1]
         owner = np.repeat(row, steps)
         raw = np.flatnonzero(ids == -2)
         if len(raw):
@@ -231,6 +321,21 @@ class Lattice:
             ids, owner = out, np.repeat(owner, count)
         return np.split(ids, np.searchsorted(owner, np.arange(1, len(texts))))
 
+    @staticmethod
+    def _distinct(code: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct units (by number) and which of them each unit is. Equal
+        hashes are confirmed character by character; a unit that only shares
+        another's hash is distinct."""
+        rel = np.arange(len(code)) - np.repeat(first, n)
+        h = np.add.reduceat(mix64(code + rel.astype(U) * GOLD), first) + n.astype(U)
+        _, one, of = np.unique(h, return_index=True, return_inverse=True)
+        same = n[one][of] == n
+        source = np.repeat(first[one][of], n) + rel
+        same &= np.logical_and.reduceat(code[np.minimum(source, len(code) - 1)] == code, first)
+        odd = np.flatnonzero(~same)
+        of[odd] = len(one) + np.arange(len(odd))
+        return np.concatenate((one, odd)), of
+
     def segment(self, texts: list[str | None], keys: np.ndarray, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """The sizes of all texts' ids, and the ids of the non-empty texts."""
         full = [i for i, t in enumerate(texts) if t]
@@ -243,23 +348,6 @@ class Lattice:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
-@lru_cache(maxsize=1)
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (int(ODD), pow(int(ODD), -1, 1 << 64)):
-        x = np.full(n, b, U)
-        x[0] = 1
-        out.append(np.cumprod(x))
-    return tuple(out)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64."""
-    size = 1 << max(20, (n - 1).bit_length())
-    power, inverse = _power_table(size)
-    return power[:n], inverse[:n]
-
-
 @lru_cache(maxsize=2)
 def lattice(cfg: PieceConfig) -> Lattice:
     return Lattice(cfg)
@@ -274,7 +362,7 @@ def default_config(**more) -> PieceConfig:
 def encode(docs: DataFrame, cfg: PieceConfig | None = None, ids: str = "piece_ids") -> DataFrame:
     """``docs`` with a column ``ids`` of sampled piece ids. The row key is
     ``doc_id``."""
-    cfg = cfg or default_config()
+    cfg, ids = cfg or default_config(), spare(ids, docs.columns)
     at, key = docs.columns.index("text"), docs.columns.index("doc_id")
     schema = StructType([*docs.schema.fields]).add(ids, ArrayType(IntegerType()))
 
@@ -294,7 +382,7 @@ def encode(docs: DataFrame, cfg: PieceConfig | None = None, ids: str = "piece_id
 
 def decode(df: DataFrame, cfg: PieceConfig | None = None, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text that its piece ids spell."""
-    cfg = cfg or default_config()
+    cfg, text = cfg or default_config(), spare(text, df.columns)
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,23 +394,3 @@ def decode(df: DataFrame, cfg: PieceConfig | None = None, ids: str = "piece_ids"
 
     return df.mapInArrow(run, StructType([*df.schema.fields]).add(text, "string"))
 
-
-def encoded_summary(docs: DataFrame, cfg: PieceConfig | None = None) -> DataFrame:
-    """``doc_id, n_pieces, ids_crc32, lossless`` of each document: its ids'
-    number and checksum (as little-endian int32), and whether they decode to the
-    very text. One pass, so the ids need not leave the worker."""
-    cfg = cfg or default_config()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = lattice(cfg)
-        for b in slices(batches, 1, cfg.slice_bytes):
-            texts = b.column(1).to_pylist()
-            keys = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False)
-            sizes, parts = lat.segment(texts, keys, cfg.seed)
-            it = iter(parts)
-            ids = [next(it) if n else np.empty(0, np.int32) for n in sizes.tolist()]
-            same = [t is None or lat.decode(x.tolist()) == t for t, x in zip(texts, ids)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64()), pa.array(same)], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
-
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
