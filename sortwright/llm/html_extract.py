@@ -17,7 +17,10 @@ a documented, fixed number); no page of the corpus is needed and every session g
 the same model.
 
 Defined cases: null html counts as empty and gives an empty text; plain text
-without tags is one block; repeated rows are extracted alike.
+without tags is one block; repeated rows are extracted alike; an empty table gives an
+empty result; other columns are ignored. White space is Unicode's, non-breaking
+spaces included. Elements such as ``svg`` may nest; one without its end tag is
+passed over as a tag only.
 """
 
 from __future__ import annotations
@@ -64,6 +67,7 @@ FAMILY = {t: k for k, names in enumerate(FAMILIES) for t in names.split()}
 MARKS = set("class id role itemprop hidden aria-hidden style".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_ASIDE_TAG = re.compile(rf"<(/?)({'|'.join(sorted(ASIDE))})(?=[\s/>])((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.I)
 _ATTR = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -83,6 +87,7 @@ class Tree:
 def parse(html: str) -> Tree:
     t = Tree()
     stack, at, block, n = [0], 0, 0, len(html)
+    asides: dict[int, int] | None = None
 
     def pop_to(names: set[str], stop: set[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -123,14 +128,32 @@ def parse(html: str) -> Tree:
         t.tag.append(name)
         t.attrs.append({a.lower(): b or c or d for a, b, c, d in _ATTR.findall(m[3])} if m[3].strip() else {})
         t.up.append(stack[-1])
-        if name in RAW or name in ASIDE and not m[3].rstrip().endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = close.end() if close else n if name in RAW else at
+        if name in RAW:
+            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            at = close.end() if close else n
+        elif name in ASIDE and not m[3].rstrip().endswith("/"):
+            asides = _aside_ends(html) if asides is None else asides
+            at = asides.get(at, at)
         elif name not in VOID | ASIDE and not m[3].rstrip().endswith("/") or (name not in VOID and name not in RAW and KIND.get(name) is not None):
             stack.append(len(t.tag) - 1)
     return t
 
 
+def _aside_ends(html: str) -> dict[int, int]:
+    """For the end of each start tag of an ``ASIDE`` element that has an end tag,
+    where that ends; nested ones of one name are counted."""
+    opened: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for m in _ASIDE_TAG.finditer(html):
+        stack = opened.setdefault(m[2].lower(), [])
+        if m[1]:
+            if stack:
+                ends[stack.pop()] = m.end()
+        elif not m[3].rstrip().endswith("/"):
+            stack.append(m.end())
+    return ends
+
+
 NEVER = RAW | ASIDE | {"head", "button", "input"}
 N_FEATURES = len(KINDS) + len(FAMILIES) + 17
 

@@ -216,8 +216,11 @@ def classify(docs: DataFrame, cfg: NearDupConfig, by_id: bool) -> Classes:
     ``doc_id`` are linked too."""
     sigs = materialize(signatures(docs, cfg), "sigs")
     sane = sigs.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(sane.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("c")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes = materialize(sane.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("c")).withColumn("__row", F.monotonically_increasing_id()), "classes")
     n_rows, n_classes = classes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # a class is named by its smallest id, so that originals, mostly older than their copies, lead; by its row where classes share ids
+    shared = bool(classes.groupBy("rep.doc_id").agg(F.count("*").alias("k")).filter("k > 1").head(1))
+    classes = classes.withColumn("cid", F.col("__row") if shared else F.col("rep.doc_id")).drop("__row")
     repeated = bool(sane.groupBy("doc_id", "th").agg(F.count("*").alias("k")).filter("k > 1").head(1))
 
     bands = classes.select("cid", "n", F.explode("bands").alias("key"))
