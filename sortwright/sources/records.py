@@ -2,53 +2,64 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _size(spark: SparkSession, path: str) -> int:
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """The data files at ``path`` (a file, a folder or a pattern) in order of
+    their names, with their sizes."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
-
-
-def _whole_records(spark: SparkSession, path: str, width: int, n: int, block_bytes: int = 32 << 20) -> DataFrame:
-    """``rid, rec``: the first ``n`` records of one file. Tasks read ranges of
-    about ``block_bytes`` themselves, so no file is held whole."""
-    per = max(1, block_bytes // width)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for top in store.globStatus(where) or ():
+        for f in store.listStatus(top.getPath()) if top.isDirectory() else (top,):
+            if f.isFile() and not f.getPath().getName().startswith(("_", ".")):
+                found.append((f.getPath().toString(), f.getLen()))
+    if not found:
+        raise FileNotFoundError(path)
+    return sorted(found)
+
+
+def read_records(spark: SparkSession, path: str, key_size: int, value_size: int, on_partial: str = "error", block_bytes: int = 32 << 20) -> DataFrame:
+    """``rid, key, payload``; ``rid`` is the record's place in the files, taken in
+    order of their names. A partial last record of a file is an error, or dropped
+    with ``on_partial="drop"``. Tasks read ranges of about ``block_bytes`` themselves,
+    as Arrow batches, so no file is held whole; the path needs a scheme that pyarrow's
+    file systems know."""
+    width, per = key_size + value_size, max(1, block_bytes // (key_size + value_size))
+    files, first_block, first_rid = [], [0], [0]
+    for name, size in _files(spark, path):
+        if size % width and on_partial != "drop":
+            raise ValueError(f"{name} has {size} bytes, no multiple of {width}")
+        files.append((name, size // width))
+        first_block.append(first_block[-1] - (-(size // width) // per))
+        first_rid.append(first_rid[-1] + size // width)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, where = fs.FileSystem.from_uri(path)
-        with store.open_input_file(where) as f:
-            for b in batches:
-                for block in b.column(0).to_pylist():
-                    first = block * per
-                    count = min(per, n - first)
+        for b in batches:
+            for block in b.column(0).to_pylist():
+                k = bisect_right(first_block, block) - 1
+                name, n = files[k]
+                first = (block - first_block[k]) * per
+                count = min(per, n - first)
+                store, where = fs.FileSystem.from_uri(name if "://" in name else name.replace(":/", ":///", 1))
+                with store.open_input_file(where) as f:
                     data = f.read_at(count * width, first * width)
-                    for lo in range(0, count, 10_000):
-                        hi = min(count, lo + 10_000)
-                        yield pa.RecordBatch.from_arrays([pa.array(range(first + lo, first + hi), pa.int64()), pa.array([data[i * width : (i + 1) * width] for i in range(lo, hi)], pa.binary())], names=["rid", "rec"])
-
-    blocks = -(-n // per)
-    return spark.range(0, blocks, 1, max(1, min(blocks, 100_000))).mapInArrow(read, "rid long, rec binary")
-
+                rec = pa.Array.from_buffers(pa.binary(width), count, [None, pa.py_buffer(data)]).cast(pa.binary())
+                rid = pa.array(np.arange(first_rid[k] + first, first_rid[k] + first + count))
+                for lo in range(0, count, 50_000):
+                    yield pa.RecordBatch.from_arrays([rid.slice(lo, 50_000), rec.slice(lo, 50_000)], names=["rid", "rec"])
 
-def read_records(spark: SparkSession, path: str, key_size: int, value_size: int, on_partial: str = "error") -> DataFrame:
-    """``rid, key, payload``; ``rid`` is the record's place in the file. A
-    partial last record is an error, or dropped with ``on_partial="drop"``; such
-    a file needs a URI that pyarrow's file systems know."""
-    width, size = key_size + value_size, _size(spark, path)
-    if size % width and on_partial != "drop":
-        raise ValueError(f"{path} has {size} bytes, no multiple of {width}")
-    if size % width:
-        df = _whole_records(spark, path, width, size // width)
-    else:
-        rdd = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda x: (x[1], x[0]))
-        df = spark.createDataFrame(rdd, "rid long, rec binary")
+    n = first_block[-1]
+    df = spark.range(0, n, 1, max(1, min(n, 100_000))).mapInArrow(read, "rid long, rec binary")
     return df.select("rid", F.substring("rec", 1, key_size).alias("key"), F.substring("rec", key_size + 1, value_size).alias("payload"))
 
 

@@ -191,6 +191,8 @@ def test_record_files(spark, tmp_path):
     records.write_records(df.orderBy("key"), f"file://{tmp_path}/out")
     back = records.read_records(spark, f"file://{tmp_path}/out", 4, 6)
     assert sorted(map(tuple, back.select("key", "payload").collect())) == sorted(map(tuple, df.collect()))
+    small = records.read_records(spark, f"file://{tmp_path}/out", 4, 6, block_bytes=70).orderBy("rid").collect()
+    assert [r["rid"] for r in small] == list(range(100)) and [bytes(r["key"]) for r in small] == sorted(bytes(r["key"]) for r in small)
     (tmp_path / "odd").write_bytes(bytes(range(25)))
     with pytest.raises(ValueError):
         records.read_records(spark, f"file://{tmp_path}/odd", 4, 6)
