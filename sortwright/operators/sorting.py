@@ -83,15 +83,21 @@ def ranked(df: DataFrame, keys: Sequence[str], pos: str = "pos", descending: boo
     return joined.withColumn(pos, F.col("__before") + row + 1).drop("__at", "__part", "__before")
 
 
-def in_group_rank(df: DataFrame, key: str, group: Column, pos: str = "in_group") -> DataFrame:
-    """``df`` with the rank by ``key`` inside each ``group``, where ``group`` is a
-    prefix of ``key``: ranked inside pieces of a range, plus what the group has in
-    earlier ranges. A group of any size is never in one task."""
-    table = numbered(df, [key]).withColumn("__part", F.shiftright("__at", ROW_BITS)).withColumn("__group", group)
-    rank = F.row_number().over(Window.partitionBy("__part", "__group").orderBy("__at"))
+def running_sum(df: DataFrame, keys: Sequence[str], group: Column, weight: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``weight`` up to the row, in order of ``keys`` inside
+    each ``group``, whose rows lie together in that order: summed inside pieces of a
+    range, plus what the group has in earlier ranges. A group of any size is never in
+    one task."""
+    table = numbered(df, keys).withColumn("__part", F.shiftright("__at", ROW_BITS)).withColumn("__group", group)
+    upto = F.sum(weight).over(Window.partitionBy("__part", "__group").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
     earlier = Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = table.groupBy("__part", "__group").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    return table.withColumn("__rank", rank).join(sizes, ["__part", "__group"]).withColumn(pos, (F.col("__rank") + F.col("__before")).cast("bigint")).drop("__part", "__group", "__rank", "__before", "__at")
+    sizes = table.groupBy("__part", "__group").agg(F.sum(weight).alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    return table.withColumn("__upto", upto).join(sizes, ["__part", "__group"]).withColumn(name, (F.col("__upto") + F.col("__before")).cast("bigint")).drop("__part", "__group", "__upto", "__before", "__at")
+
+
+def in_group_rank(df: DataFrame, key: str, group: Column, pos: str = "in_group") -> DataFrame:
+    """``df`` with the rank by ``key`` inside each ``group``, a prefix of ``key``."""
+    return running_sum(df, [key], group, F.lit(1), pos)
 
 
 def ordered(df: DataFrame, keys: Sequence[str], descending: bool = False) -> DataFrame:

@@ -790,7 +790,7 @@ def lower_median_stddev(spark, sf_dir):
 def _middle(spark: SparkSession, sf_dir: str, rank) -> DataFrame:
     r = results(spark, sf_dir)
     freq = r.groupBy("num_records", "total_ms").agg(F.count("*").alias("c"))
-    upto = freq.withColumn("upto", F.sum("c").over(Window.partitionBy("num_records").orderBy("total_ms")))
+    upto = sorting.running_sum(freq, ["num_records", "total_ms"], F.col("num_records"), F.col("c"), "upto")
     all_ = r.groupBy("num_records").agg(F.count("*").alias("n"), F.min("total_ms").alias("lo"), F.max("total_ms").alias("hi"), F.round(F.stddev_pop("total_ms"), 6).alias("sd"))
     return upto.join(all_, "num_records").filter((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank)).select("num_records", F.col("total_ms").alias("median"), "lo", "hi", "sd")
 
