@@ -110,6 +110,18 @@ def hub_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFra
     return hot.unionByName(rest)
 
 
+def head_cut(counts: DataFrame, room: int) -> int:
+    """The least ``n`` of the most frequent words: as many as fit into ``room`` in
+    steps of 2^(1/8), so that words of one count stay together. 2^62: none fit."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    least = 1 << 62
+    for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("k"), F.min("n").alias("n")).orderBy(F.desc("s")).collect():
+        if r["k"] > room:
+            break
+        room, least = room - r["k"], r["n"]
+    return least
+
+
 def map_sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
     """Bring rows of equal ``keys`` together and call ``fn`` with each group as
     an Arrow table. Only one group is held at a time; callers bound its size.

@@ -1,12 +1,12 @@
 """Token counts of a byte-level BPE without token ids per document.
 
-Texts are cut into pre-tokens. Each distinct pre-token of a worker's slice goes
-through the library once and only its number of pieces is kept; a document's
-count is the sum of those numbers over its pre-token frequencies. Numbers are
-kept across slices in a bounded table, so frequent pre-tokens are counted once a
-worker. The join of frequencies and counts is thus local and by dictionary: a
-shuffled join would write every document's distinct pre-tokens (about twice the
-input) to save a recount of rare ones.
+1. Texts are cut into pre-tokens, and the corpus's distinct pre-tokens are counted
+   (partial counts a task, then a shuffle).
+2. Each distinct pre-token goes through the library once; the table keeps its number
+   of pieces.
+3. The frequencies of a document's pre-tokens meet that table: the most frequent
+   ones (at most ``head_words``) by a broadcast dictionary, the others by an equi-join.
+   None of these is frequent, so no key is hot. The products are summed.
 
 Defined cases: null counts as empty; empty text has no tokens; strings of
 special tokens inside texts are one token each, the library's default; repeated
@@ -23,10 +23,11 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortwright.llm.common import slices
+from sortwright.llm.common import head_cut, materialize, slices
 
 # fixed value: the pre-token pattern of byte-level BPE
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,7 +50,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class PieceCounter:
-    def __init__(self, path: str, cache_words: int) -> None:
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -63,8 +64,6 @@ class PieceCounter:
         self.cut_any = regex.compile(PATTERN).findall
         self.letters = byte_letters()
         self.model = self.tokenizer.model
-        self.known: dict[str, int] = {}
-        self.limit = cache_words
 
     def cut(self, text: str) -> list[str]:
         return self.cut_any(text) if OUTSIDE(text) else PLAIN(text)
@@ -79,32 +78,74 @@ class PieceCounter:
         parts = self.special.split(text)
         return Counter(x for p in parts for x in self.cut(p)), len(parts) - 1
 
-    def count(self, texts: list[str | None]) -> list[int]:
-        found = [self.pretokens(t) if t else (Counter(), 0) for t in texts]
-        known = self.known
-        new = list(dict.fromkeys(x for freq, _ in found for x in freq if x not in known))
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = list(dict.fromkeys(x for freq, _ in found for x in freq))
-        known.update(zip(new, map(self.pieces, new)))
-        return [special + sum(known[x] * n for x, n in freq.items()) for freq, special in found]
-
 
 @lru_cache(maxsize=2)
-def counter(path: str, cache_words: int) -> PieceCounter:
-    return PieceCounter(path, cache_words)
+def counter(path: str) -> PieceCounter:
+    return PieceCounter(path)
+
+
+def pretoken_table(docs: DataFrame, path: str, flush_words: int = 400_000) -> DataFrame:
+    """``word, n, pieces`` for each distinct pre-token of ``docs``'s texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, total = counter(path), Counter()
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            words = list(total)
+            for lo in range(0, len(words), 50_000):
+                part = words[lo : lo + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([total[x] for x in part], pa.int64())], names=["word", "n"])
+            total.clear()
+
+        for b in slices(batches, 0):
+            for t in b.column(0).to_pylist():
+                if t:
+                    total.update(cut.pretokens(t)[0])
+                    if len(total) > flush_words:
+                        yield from emit()
+        yield from emit()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = counter(path).pieces
+        for b in slices(batches, 0):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(pieces, b.column(0).to_pylist()), pa.int32())], names=["word", "n", "pieces"])
+
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return materialize(counts.mapInArrow(measure, "word string, n long, pieces int"), "pretokens")
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 512, cache_words: int = 500_000) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 512, head_words: int = 1 << 17) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit``; ``path`` is the vocabulary
     file, which every worker can read."""
+    table = pretoken_table(docs, path)
+    least = head_cut(table, head_words)
+    # at most head_words rows
+    head = docs.sparkSession.sparkContext.broadcast({r["word"]: r["pieces"] for r in table.filter(F.col("n") >= least).select("word", "pieces").collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = counter(path, cache_words)
+        cut, known, next_id = counter(path), head.value, TaskContext.get().partitionId() << 40
         for b in slices(batches):
-            n = pieces.count(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            n, words, times, ends = [], [], [], [0]
+            for t in b.column(1).to_pylist():
+                freq, here = cut.pretokens(t) if t else ({}, 0)
+                for x, k in freq.items():
+                    p = known.get(x)
+                    if p is None:
+                        words.append(x)
+                        times.append(k)
+                    else:
+                        here += p * k
+                n.append(here)
+                ends.append(len(words))
+            at = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(at, x) for x in (pa.array(words, pa.string()), pa.array(times, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(next_id, next_id + b.num_rows), pa.int64()), b.column(0), b.column(2), pa.array(n, pa.int64()), *lists], names=["row", "doc_id", "n_bytes", "n", "words", "times"])
+            next_id += b.num_rows
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    found = materialize(rows.mapInArrow(run, "row long, doc_id long, n_bytes long, n long, words array<string>, times array<long>"), "frequencies")
+    tails = found.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    more = tails.join(table.filter(F.col("n") < least).select("word", "pieces"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
+    n_tokens = F.col("n") + F.coalesce("more", F.lit(0))
+    return found.drop("words", "times").join(more, "row", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))

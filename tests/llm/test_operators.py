@@ -559,9 +559,14 @@ def test_token_counts(spark, docs, odd, none):
             n = len(lib.encode(t, add_special_tokens=False))
             assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(t.encode()), n > 512)
     r, alphabet = random.Random(5), [chr(c) for c in [*range(0x250), *range(0x600, 0x660), *range(0x2000, 0x2070), 0x1F600, 0x4E2D]]
-    counter = token_counts.PieceCounter(path, 100)
+    counter = token_counts.PieceCounter(path)
     texts = ["".join(r.choice(alphabet) if r.random() < 0.5 else r.choice(" ab's\n1") for _ in range(12)) for _ in range(3000)]
-    assert counter.count(texts) == [len(lib.encode(t, add_special_tokens=False)) for t in texts]
+    found = [counter.pretokens(t) for t in texts]
+    assert [special + sum(n * counter.pieces(x) for x, n in freq.items()) for freq, special in found] == [len(lib.encode(t, add_special_tokens=False)) for t in texts]
+    few = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, path, head_words=60).collect()}
+    assert few == {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, path).collect()}
+    table = token_counts.pretoken_table(docs, path).collect()
+    assert len({r["word"] for r in table}) == len(table) and sum(r["n"] for r in table) == sum(sum(counter.pretokens(r["text"] or "")[0].values()) for r in docs.collect())
     assert token_counts.token_counts(none, path).count() == 0
 
 
