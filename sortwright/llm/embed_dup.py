@@ -237,9 +237,9 @@ def _links_of_length(classes: DataFrame, n: int, dim: int, cfg: EmbedConfig) ->
                 s = b.slice(lo, 4096)
                 packed_bits, keys = codes.of(_unit(_matrix(s.column(0), dim)))
                 offsets = pa.array(np.arange(0, (len(keys) + 1) * codes.tables, codes.tables, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([*s.columns, pa.array([r.tobytes() for r in packed_bits], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.astype(np.int32).reshape(-1)))], names=["v", "cid", "m", "code", "keys"])
+                yield pa.RecordBatch.from_arrays([s.column(1), pa.array([r.tobytes() for r in packed_bits], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.astype(np.int32).reshape(-1)))], names=["cid", "code", "keys"])
 
-    coded = materialize(classes.select("v", "cid", "m").mapInArrow(encode, "v binary, cid long, m long, code binary, keys array<int>"), "codes")
+    coded = materialize(classes.select("v", "cid").mapInArrow(encode, "cid long, code binary, keys array<int>"), "codes")
     entry = (F.col("t").cast("long") * (1 << 24) + F.col("k")).alias("key")
     tabled = coded.select("cid", "code", F.posexplode("keys").alias("t", "k")).select(entry, "cid", "code")
     large = tabled.groupBy("key").agg(F.count("*").alias("c"))
@@ -269,7 +269,7 @@ def _links_of_length(classes: DataFrame, n: int, dim: int, cfg: EmbedConfig) ->
     if in_crowd:
         whole = tabled.select("key", "cid").join(crowded.select("key"), "key", "left_semi")
         going = tested.union(hub_join(whole, crowded, "key", in_crowd).select("key", "cid", "chunks"))
-    dealt = going.join(coded.select("cid", "m", "v", "keys"), "cid").withColumn("own", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
+    dealt = going.join(coded.select("cid", "keys"), "cid").join(classes.select("cid", "m", "v"), "cid").withColumn("own", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "cid", "m", "v", "keys")
 
     def rerank(group: pa.Table) -> Iterator[pa.RecordBatch]:
