@@ -20,7 +20,9 @@ bounded in size; there is no shuffle.
 
 Defined cases: null or word-less text has no features and severity
 ``sum sigmoid(-theta)``; without labels of both kinds every severity is 0;
-labels that are null or not 0/1 are ignored; repeated rows are scored alike.
+labels that are null or not 0/1 are ignored, of several labels of one id the
+larger counts; repeated rows are scored alike; of several texts of one id the one
+with the smallest hash is fitted; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from sortwright.llm.common import discard, materialize, slices, spare
 from sortwright.llm.near_dup import shingle_sets
 
 WORD = re.compile(r"\w+").findall
-FEATURES = "doc_id long, toxic int, sketch long, features array<int>, amounts array<double>"
+FEATURES = "doc_id long, toxic int, th long, sketch long, features array<int>, amounts array<double>"
 
 
 @dataclass(frozen=True)
@@ -150,24 +152,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig) -> li
         return []
     keep = use.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(1.0, cfg.max_train / n) * (1 << 20)))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = docs.join(F.broadcast(keep), docs["doc_id"] == keep["id"]).select("doc_id", "toxic", "text")  # bounded by max_train rows
+    found = docs.join(F.broadcast(keep), docs["doc_id"] == keep["id"]).select("doc_id", "toxic", F.xxhash64("text").alias("th"), "text")  # bounded by max_train rows
     buckets = cfg.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2):
+        for b in slices(batches, 3):
             feats = []
-            for t in b.column(2).to_pylist():
+            for t in b.column(3).to_pylist():
                 seen: dict[int, float] = {}
                 for w, c in Counter(WORD((t or "").lower())).items():
                     for f in word_features(w, buckets):
                         seen[f] = seen.get(f, 0.0) + math.log2(1 + c)
                 feats.append(seen)
-            least = [int(x[0].astype(np.int64)) if len(x) else 0 for x in shingle_sets(b.column(2).to_pylist(), 5)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(least, pa.int64()), pa.array([[*f] for f in feats], pa.list_(pa.int32())), pa.array([[*f.values()] for f in feats], pa.list_(pa.float64()))], names=["doc_id", "toxic", "sketch", "features", "amounts"])
+            least = [int(x[0].astype(np.int64)) if len(x) else 0 for x in shingle_sets(b.column(3).to_pylist(), 5)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(least, pa.int64()), pa.array([[*f] for f in feats], pa.list_(pa.int32())), pa.array([[*f.values()] for f in feats], pa.list_(pa.float64()))], names=["doc_id", "toxic", "th", "sketch", "features", "amounts"])
 
-    # one document of each sketch: the one of the smallest id
-    first = F.row_number().over(Window.partitionBy("sketch", "toxic").orderBy("doc_id"))
-    sampled = materialize(found.mapInArrow(run, FEATURES).withColumn("rank", first).filter("rank = 1").drop("rank").dropDuplicates(["doc_id"]), "toxic-train")
+    # one document of each sketch, the one of the smallest id; of an id the text of the smallest hash
+    first = F.row_number().over(Window.partitionBy("sketch", "toxic").orderBy("doc_id", "th"))
+    only = F.row_number().over(Window.partitionBy("doc_id").orderBy("th", "sketch"))
+    sampled = materialize(found.mapInArrow(run, FEATURES).withColumn("rank", first).filter("rank = 1").withColumn("rank", only).filter("rank = 1").drop("rank", "th"), "toxic-train")
     ones, total = sampled.agg(F.sum("toxic"), F.count("*")).first()
     if not ones or ones == total:
         discard(sampled)
