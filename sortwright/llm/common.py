@@ -95,15 +95,18 @@ def slices(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = SLICE_
             start = stop
 
 
-#: A key with more than this share of the rows is joined by broadcast: there are fewer than 200 of them.
-HUB_SHARE = 200
+#: From HUB_ROWS rows on, keys with more than one row in HUB_SHARE are joined by broadcast: there are fewer than 200 of them.
+HUB_ROWS, HUB_SHARE = 500_000, 200
 
 
 def hub_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` joined to ``table``, which has each ``key`` once with the number
     ``c`` of the ``total`` rows that hold it. Keys of more than a 200th of the rows
     meet by broadcast (fewer than 200 of them), the others by shuffle, so no
-    task gets more than that of one key."""
+    task gets more than that of one key. Up to ``HUB_ROWS`` narrow rows one shuffle
+    does, even if all have one key."""
+    if total <= HUB_ROWS:
+        return rows.join(table.drop("c"), key)
     heavy, light = (table.filter(cond).drop("c") for cond in (F.col("c") > total / HUB_SHARE, F.col("c") <= total / HUB_SHARE))
     hot = rows.join(F.broadcast(heavy), key)
     rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)

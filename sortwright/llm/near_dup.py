@@ -218,10 +218,13 @@ def classify(docs: DataFrame, cfg: NearDupConfig, by_id: bool) -> Classes:
     sane = sigs.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(sane.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("c")).withColumn("__row", F.monotonically_increasing_id()), "classes")
     n_rows, n_classes = classes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # ids with several rows (none where doc_id is unique), and of these the ones with several sets
+    again = materialize(sane.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("k")).filter("k > 1"), "again")
+    repeated = bool(again.head(1))
+    several = again.filter("lo <> hi").select("doc_id")
     # a class is named by its smallest id, so that originals, mostly older than their copies, lead; by its row where classes share ids
-    shared = bool(classes.groupBy("rep.doc_id").agg(F.count("*").alias("k")).filter("k > 1").head(1))
-    classes = classes.withColumn("cid", F.col("__row") if shared else F.col("rep.doc_id")).drop("__row")
-    repeated = bool(sane.groupBy("doc_id", "th").agg(F.count("*").alias("k")).filter("k > 1").head(1))
+    unlike = repeated and bool(several.head(1))
+    classes = classes.withColumn("cid", F.col("__row") if unlike else F.col("rep.doc_id")).drop("__row")
 
     bands = classes.select("cid", "n", F.explode("bands").alias("key"))
     heads = bands.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("c")).filter("c > 1")
@@ -234,18 +237,16 @@ def classify(docs: DataFrame, cfg: NearDupConfig, by_id: bool) -> Classes:
     texts = keyed(docs).filter("doc_id is not null")
     if repeated:  # equal rows give one text
         texts = texts.groupBy("doc_id", "th").agg(F.first("text").alias("text"))
-    reps = classes.select("cid", "rep.doc_id", "rep.th")
-
-    def with_text(seats: DataFrame) -> DataFrame:
-        return texts.join(seats.join(reps, "cid"), ["doc_id", "th"])
+    # the texts that have a candidate at all, once: documents are shuffled for this only
+    reps = placed.select("cid").distinct().join(classes.select("cid", "rep.doc_id", "rep.th"), "cid")
+    texts = materialize(texts.join(reps, ["doc_id", "th"]).select("cid", "text"), "candidates")
 
     def link(group: pa.Table) -> Iterator[pa.RecordBatch]:
         if group.num_rows > 1:
             yield from _edges(forest(group["cid"].to_numpy(), shingle_sets(group["text"].to_pylist(), cfg.shingle), cfg))
 
-    found = map_sorted_groups(with_text(seats).select("leader", "chunk", "cid", "text"), ["leader", "chunk"], link, "a long, b long")
-    if by_id:
-        several = sane.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("doc_id")
+    found = map_sorted_groups(texts.join(seats, "cid").select("leader", "chunk", "cid", "text"), ["leader", "chunk"], link, "a long, b long")
+    if by_id and unlike:
         of_id = sane.join(several, "doc_id").select("doc_id", "digest").distinct().join(classes.select("digest", "cid"), "digest").select("doc_id", "cid")
         found = found.union(of_id.join(of_id.groupBy("doc_id").agg(F.min("cid").alias("least")), "doc_id").select(F.col("cid").alias("a"), F.col("least").alias("b")))
     edges = materialize(found, "links")
@@ -265,7 +266,7 @@ def classify(docs: DataFrame, cfg: NearDupConfig, by_id: bool) -> Classes:
         def relink(group: pa.Table) -> Iterator[pa.RecordBatch]:
             yield from _edges(forest(group["cid"].to_numpy(), shingle_sets(group["text"].to_pylist(), cfg.shingle), cfg, group["comp"].to_numpy(), group["fresh"].to_numpy(zero_copy_only=False)))
 
-        again = with_text(as_member.union(as_odd)).select("leader", "chunk", "block", "cid", "comp", "fresh", "text")
+        again = texts.join(as_member.union(as_odd), "cid").select("leader", "chunk", "block", "cid", "comp", "fresh", "text")
         more = map_sorted_groups(again, ["leader", "chunk", "block"], relink, "a long, b long")
         comp = materialize(connected_components(edges.union(more)), "comp")
     of_class = materialize(classes.select("digest", "cid", "rep", "c").join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("digest", "rep", "c", F.coalesce("component", "cid").alias("component")), "of-class")

@@ -61,7 +61,9 @@ def jaccard_links(texts, k, num, den):
     return lambda i, j: bool(s[i] and s[j]) and den * len(s[i] & s[j]) >= num * len(s[i] | s[j])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [0, common.HUB_ROWS])
+def test_components(spark, hub, monkeypatch):
+    monkeypatch.setattr(common, "HUB_ROWS", hub)
     r = random.Random(1)
     for n in (0, 1, 40, 400):
         edges = [(r.randrange(300), r.randrange(300)) for _ in range(n)] + [(1000 + i, 1001 + i) for i in range(n // 2)]
@@ -75,7 +77,9 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("cfg", [near_dup.NearDupConfig(), near_dup.FIVE_WORDS, near_dup.NearDupConfig(chunk_docs=2)])
-def test_near_duplicates(spark, docs, odd, none, cfg):
+@pytest.mark.parametrize("hub", [0, common.HUB_ROWS])
+def test_near_duplicates(spark, docs, odd, none, cfg, hub, monkeypatch):
+    monkeypatch.setattr(common, "HUB_ROWS", hub)
     near = [(1000 + i, " ".join(w)) for i, w in enumerate(["x%d" % (j if j % 29 != i % 29 else -i) for j in range(60)] for i in range(24))]
     for df in (docs.select("doc_id", "text").limit(80).union(spark.createDataFrame(near, "doc_id long, text string")), odd.filter("doc_id is not null").dropDuplicates(["doc_id"])):
         rows = df.select("doc_id", "text").orderBy("doc_id").collect()
@@ -123,7 +127,8 @@ def test_keep_one_judges_texts(spark):
     assert sorted(r["doc_id"] for r in near_dup.keep_one(unique).collect()) == [2, 3, 4]
 
 
-def test_hub_join_is_an_equi_join(spark):
+def test_hub_join_is_an_equi_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB_ROWS", 0)
     rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(900)], "k int, v int")
     table = rows.groupBy("k").agg(F.count("*").alias("c")).withColumn("w", F.col("k") * 2)
     got = common.hub_join(rows, table, "k", 900)
