@@ -146,6 +146,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, head_words: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     found = materialize(rows.mapInArrow(run, "row long, doc_id long, n_bytes long, n long, words array<string>, times array<long>"), "frequencies")
     tails = found.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    more = tails.join(table.filter(F.col("n") < least).select("word", "pieces"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
+    # each pre-token has one row, so the hashed side of a task is as small as its partition; nothing is sorted
+    more = tails.join(table.filter(F.col("n") < least).select("word", "pieces").hint("shuffle_hash"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
     n_tokens = F.col("n") + F.coalesce("more", F.lit(0))
     return found.drop("words", "times").join(more, "row", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
