@@ -16,49 +16,59 @@ TWO62 = 4611686018427387904
 SIGN = -9223372036854775808
 
 
-def _hex(c: Column, width: int) -> Column:
-    return F.unhex(F.lpad(F.hex(c.cast("bigint")), 2 * width, "0"))
+# -- fields as hexadecimal digits: a key is put together of these and turned into bytes once
 
 
-def char1(c: str) -> Column:
-    return F.encode(c, "UTF-8")
+def digits(c: Column, width: int) -> Column:
+    return F.lpad(F.hex(c.cast("bigint")), 2 * width, "0")
 
 
-def unsigned(c: str | Column, width: int) -> Column:
-    """Big-endian bytes of a value that is at least 0."""
-    return _hex(F.col(c) if isinstance(c, str) else c, width)
-
-
-def date(c: str, bias: bool = False) -> Column:
+def date_digits(c: str, bias: bool = False) -> Column:
     """Days since 1970-01-01; with ``bias`` earlier dates order rightly too."""
-    return _hex(F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") + (2147483648 if bias else 0), 4)
+    return digits(F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") + (2147483648 if bias else 0), 4)
 
 
 def cents(c: str) -> Column:
     return F.bround(F.col(c) * 100).cast("bigint")
 
 
-def decimal(c: str, flip: bool = True) -> Column:
+def decimal_digits(c: str, flip: bool = True) -> Column:
     """Cents: with the sign bit flipped, or with 2^62 added."""
-    return _hex(cents(c).bitwiseXOR(F.lit(SIGN).cast("bigint")), 8) if flip else _hex(cents(c) + F.lit(TWO62), 8)
+    return digits(cents(c).bitwiseXOR(F.lit(SIGN).cast("bigint")) if flip else cents(c) + F.lit(TWO62), 8)
 
 
-def timestamp(c: str) -> Column:
+def timestamp_digits(c: str) -> Column:
     """Microseconds since 1970-01-01 plus 2^62."""
-    return _hex(F.unix_micros(F.col(c).cast("timestamp")) + F.lit(TWO62), 8)
+    return digits(F.unix_micros(F.col(c).cast("timestamp")) + F.lit(TWO62), 8)
+
+
+# -- single fields as bytes
+
+
+def unsigned(c: str | Column, width: int) -> Column:
+    """Big-endian bytes of a value that is at least 0."""
+    return F.unhex(digits(F.col(c) if isinstance(c, str) else c, width))
+
+
+def date(c: str, bias: bool = False) -> Column:
+    return F.unhex(date_digits(c, bias))
+
+
+def decimal(c: str, flip: bool = True) -> Column:
+    return F.unhex(decimal_digits(c, flip))
 
 
 def clamped(c: Column, width: int) -> Column:
-    return _hex(F.greatest(F.lit(0), F.least(F.lit(256**width - 1), c.cast("bigint"))), width)
+    return F.unhex(digits(F.greatest(F.lit(0), F.least(F.lit(256**width - 1), c.cast("bigint"))), width))
 
 
 def flag(c: Column, yes: str) -> Column:
-    return _hex(F.when(c == yes, 1).otherwise(0), 1)
+    return F.unhex(digits(F.when(c == yes, 1).otherwise(0), 1))
 
 
 @dataclass(frozen=True)
 class KeySpec:
-    """Named fields ``(column, bytes, encoding)`` of a key; encodings are made
+    """Named fields ``(column, bytes, digits)`` of a key; their expressions are made
     when the key is, so a layout can be read without a session."""
 
     fields: tuple[tuple[str, int, Callable[[], Column]], ...]
@@ -68,19 +78,23 @@ class KeySpec:
         return sum(n for _, n, _ in self.fields)
 
     def key(self) -> Column:
-        return F.concat(*(e() for _, _, e in self.fields))
+        return F.unhex(F.concat(*(e() for _, _, e in self.fields)))
+
+
+def _number(name: str, width: int) -> tuple[str, int, Callable[[], Column]]:
+    return name, width, lambda: digits(F.col(name), width)
 
 
 def lineitem_spec() -> KeySpec:
     return KeySpec((
-        ("l_returnflag", 1, lambda: char1("l_returnflag")), ("l_linestatus", 1, lambda: char1("l_linestatus")), ("l_shipdate", 4, lambda: date("l_shipdate")),
-        ("l_extendedprice", 8, lambda: decimal("l_extendedprice")), ("l_discount", 8, lambda: decimal("l_discount")), ("l_tax", 8, lambda: decimal("l_tax")), ("l_quantity", 8, lambda: decimal("l_quantity")),
-        ("l_orderkey", 8, lambda: unsigned("l_orderkey", 8)), ("l_partkey", 4, lambda: unsigned("l_partkey", 4)), ("l_suppkey", 4, lambda: unsigned("l_suppkey", 4)), ("l_linenumber", 4, lambda: unsigned("l_linenumber", 4)),
+        ("l_returnflag", 1, lambda: F.hex("l_returnflag")), ("l_linestatus", 1, lambda: F.hex("l_linestatus")), ("l_shipdate", 4, lambda: date_digits("l_shipdate")),
+        *((c, 8, lambda c=c: decimal_digits(c)) for c in ("l_extendedprice", "l_discount", "l_tax", "l_quantity")),
+        _number("l_orderkey", 8), _number("l_partkey", 4), _number("l_suppkey", 4), _number("l_linenumber", 4),
     ))
 
 
 def events_spec() -> KeySpec:
-    return KeySpec((("user_id", 8, lambda: unsigned("user_id", 8)), ("ts", 8, lambda: timestamp("ts")), ("event_id", 8, lambda: unsigned("event_id", 8))))
+    return KeySpec((_number("user_id", 8), ("ts", 8, lambda: timestamp_digits("ts")), _number("event_id", 8)))
 
 
 # fixed values: key bytes, payload bytes
@@ -104,7 +118,7 @@ def prefix_number(key: Column, offset: int = 0) -> Column:
 
 def short_key(high: Column, low: Column) -> Column:
     """The 10-byte key of an unsigned 64-bit number and a 16-bit one."""
-    return F.concat(F.unhex(F.lpad(F.conv(high.cast("string"), 10, 16), 16, "0")), _hex(low, 2))
+    return F.concat(F.unhex(F.lpad(F.conv(high.cast("string"), 10, 16), 16, "0")), unsigned(low, 2))
 
 
 def zeroed(key: Column, width: int, n: int) -> Column:
