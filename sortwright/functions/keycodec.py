@@ -29,7 +29,7 @@ def date_digits(c: str, bias: bool = False) -> Column:
 
 
 def cents(c: str) -> Column:
-    return F.bround(F.col(c) * 100).cast("bigint")
+    return F.rint(F.col(c) * 100).cast("bigint")  # halves to even; bround would go through decimals
 
 
 def decimal_digits(c: str, flip: bool = True) -> Column:
