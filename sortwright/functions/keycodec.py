@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO62 = 4611686018427387904
+MILE = 1_609_344  # fixed value: millimetres
 SIGN = -9223372036854775808
 
 
@@ -58,12 +59,21 @@ def decimal(c: str, flip: bool = True) -> Column:
     return F.unhex(decimal_digits(c, flip))
 
 
+def clamped_digits(c: Column, width: int) -> Column:
+    """A number held between 0 and the most that fits; null counts as 0."""
+    return digits(F.greatest(F.lit(0), F.least(F.lit(256**width - 1), F.coalesce(c.cast("bigint"), F.lit(0)))), width)
+
+
+def flag_digits(c: Column, yes: str) -> Column:
+    return digits(F.when(c == yes, 1).otherwise(0), 1)
+
+
 def clamped(c: Column, width: int) -> Column:
-    return F.unhex(digits(F.greatest(F.lit(0), F.least(F.lit(256**width - 1), c.cast("bigint"))), width))
+    return F.unhex(clamped_digits(c, width))
 
 
 def flag(c: Column, yes: str) -> Column:
-    return F.unhex(digits(F.when(c == yes, 1).otherwise(0), 1))
+    return F.unhex(flag_digits(c, yes))
 
 
 @dataclass(frozen=True)
@@ -97,6 +107,22 @@ def events_spec() -> KeySpec:
     return KeySpec((_number("user_id", 8), ("ts", 8, lambda: timestamp_digits("ts")), _number("event_id", 8)))
 
 
+def taxi_spec() -> KeySpec:
+    """The 66 bytes of a trip record; null numbers count as 0. Amounts are cents and
+    distances (in miles) millimetres, plus 2^62."""
+
+    def scaled(c: str, by: int) -> Column:
+        return digits(F.rint(F.coalesce(F.col(c), F.lit(0.0)) * by).cast("bigint") + F.lit(TWO62), 8)
+
+    small = (("vendor_id", 1), ("payment_type", 1), ("pickup_location", 2), ("dropoff_location", 2), ("passenger_count", 1), ("ratecode_id", 1))
+    return KeySpec((
+        *((c, n, lambda c=c, n=n: clamped_digits(F.col(c), n)) for c, n in small),
+        ("pickup", 8, lambda: timestamp_digits("pickup")), ("dropoff", 8, lambda: timestamp_digits("dropoff")),
+        *((c, 8, lambda c=c, by=by: scaled(c, by)) for c, by in (("fare", 100), ("tip", 100), ("total", 100), ("distance", MILE), ("tolls", 100))),
+        ("store_and_forward", 1, lambda: flag_digits(F.col("store_and_forward"), "Y")), ("pad", 1, lambda: F.lit("00")),
+    ))
+
+
 # fixed values: key bytes, payload bytes
 PRESETS = {"gensort": (10, 90), "tpch88": (88, 32), "tpch66": (66, 54), "taxi66": (66, 54)}
 

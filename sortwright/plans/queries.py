@@ -193,6 +193,24 @@ def clamp_encode_uint8_16(spark, sf_dir):
     return df.select("o_orderkey", F.hex(kc.clamped(F.floor(F.col("o_totalprice") / 1000), 1)).alias("u8"), F.hex(kc.clamped(F.floor("o_totalprice") - 1000, 2)).alias("u16"), F.hex(kc.flag(F.col("o_orderstatus"), "F")).alias("flag"))
 
 
+_TRIP = "t AS (SELECT event_id, event_id % 300 AS vendor_id, CASE WHEN event_id % 7 <> 3 THEN event_id % 5 END AS payment_type, user_id % 70000 AS pickup_location, event_id % 265 AS dropoff_location, event_id % 6 AS passenger_count, -(event_id % 3) AS ratecode_id, epoch_us(ts) AS up, epoch_us(ts) + 60000000 * (event_id % 90) AS down, CASE WHEN event_id % 11 <> 5 THEN value END AS fare, event_type AS kind FROM events)"
+
+
+def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in the shape of taxi trips, with nulls and values out of range."""
+    i, minute = F.col("event_id"), F.make_dt_interval(mins=(F.col("event_id") % 90).cast("int"))
+    fare = F.when(i % 11 != 5, F.col("value"))
+    return read(spark, sf_dir, "events").select(
+        "event_id", (i % 300).alias("vendor_id"), F.when(i % 7 != 3, i % 5).alias("payment_type"), (F.col("user_id") % 70000).alias("pickup_location"), (i % 265).alias("dropoff_location"), (i % 6).alias("passenger_count"), (-(i % 3)).alias("ratecode_id"),
+        F.col("ts").alias("pickup"), (F.col("ts") + minute).alias("dropoff"), fare.alias("fare"), F.lit(None).cast("double").alias("tip"), fare.alias("total"), fare.alias("distance"), F.lit(1.25).alias("tolls"), F.when(F.col("event_type") == "click", "Y").otherwise("N").alias("store_and_forward"),
+    )
+
+
+@query(f"WITH {_TRIP}, v AS (SELECT *, coalesce(fare, 0.0) AS f, 4611686018427387904 AS o FROM t) SELECT event_id, lpad(hex(least(255, vendor_id)::BIGINT),2,'0')||lpad(hex(coalesce(payment_type, 0)::BIGINT),2,'0')||lpad(hex(least(65535, pickup_location)::BIGINT),4,'0')||lpad(hex(dropoff_location::BIGINT),4,'0')||lpad(hex(passenger_count::BIGINT),2,'0')||'00'||lpad(hex(up + o),16,'0')||lpad(hex(down + o),16,'0')||lpad(hex(round_even(f * 100, 0)::BIGINT + o),16,'0')||lpad(hex(o),16,'0')||lpad(hex(round_even(f * 100, 0)::BIGINT + o),16,'0')||lpad(hex(round_even(f * 1609344, 0)::BIGINT + o),16,'0')||lpad(hex(125 + o),16,'0')||CASE WHEN kind = 'click' THEN '01' ELSE '00' END||'00' AS key FROM v")
+def taxi_normalize(spark, sf_dir):
+    return trips(spark, sf_dir).select("event_id", F.hex(kc.taxi_spec().key()).alias("key"))
+
+
 @query("SELECT o_orderkey, lpad(hex((date_diff('day',DATE '1970-01-01',o_orderdate::DATE)+2147483648)::BIGINT),8,'0') AS d, lpad(hex((round(o_totalprice*100)::BIGINT)+4611686018427387904),16,'0') AS m FROM orders")
 def biased_encodings(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", F.hex(kc.date("o_orderdate", bias=True)).alias("d"), F.hex(kc.decimal("o_totalprice", flip=False)).alias("m"))
@@ -648,6 +666,13 @@ def gen_displaced_5pct(spark, sf_dir):
     return df.withColumn("src", generators.displaced(df, "pos", 20, 7, 10_000))
 
 
+@query("SELECT id, string_agg(lpad(hex(((((id * 1009 + p) + 42) * 2654435761) % 4294967296 // 65536 % 256)::BIGINT), 2, '0'), '' ORDER BY p) AS key, repeat('00', 54) AS payload FROM range(2000) t(id), range(66) u(p) GROUP BY id")
+def gen_random_normalized(spark, sf_dir):
+    """Keys of 66 random bytes, payloads of 54 zero bytes."""
+    key, payload = kc.PRESETS["tpch66"]
+    return generators.full_records(spark, 2000, key).select("id", F.col("rec").alias("key"), F.lit("00" * payload).alias("payload"))
+
+
 @query(f"SELECT id, ({_H}) % 65536 AS key FROM range({_N}) t(id)")
 def gen_cardinality_64k(spark, sf_dir):
     return generators.of_cardinality(spark, _N, 1 << 16)
