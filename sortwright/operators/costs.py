@@ -20,8 +20,9 @@ def passes(n_runs: Column, fan_in: Column) -> Column:
 
 
 def traffic(n_bytes: Column, n_passes: Column) -> Column:
-    """Bytes read and written by the passes."""
-    return 2 * n_bytes * n_passes
+    """Bytes read and written by the passes (a long, so that bytes in an int
+    don't overflow)."""
+    return n_passes * 2 * n_bytes
 
 
 def milliseconds(n_bytes: Column, share: float, peak: float = PEAK) -> Column:

@@ -841,7 +841,7 @@ _RUNS = "ceil(n / 512.0)"
 
 @query(f"WITH t AS (SELECT count(*) AS n FROM lineitem), f AS (SELECT unnest([2,4,8,16,32]) AS k), p AS (SELECT k, n, greatest(0, ceil(round(ln({_RUNS}) / ln(k), 9)))::BIGINT AS passes FROM t, f), w AS (SELECT *, 2 * n * 100 * passes AS traffic FROM p) SELECT k::BIGINT AS fan_in, passes, traffic, round(traffic / (2039e9 * 0.8) * 1e3, 6) AS ms80, round(traffic / (2039e9 * 0.6) * 1e3, 6) AS ms60, round(traffic / (2039e9 * 0.4) * 1e3, 6) AS ms40 FROM w")
 def fan_in_tradeoff(spark, sf_dir):
-    n = F.lit(read(spark, sf_dir, "lineitem").count())
+    n = F.lit(read(spark, sf_dir, "lineitem").count()).cast("bigint")
     k = spark.createDataFrame([(x,) for x in (2, 4, 8, 16, 32)], "fan_in long")
     t = k.withColumn("passes", costs.passes(costs.runs(n), F.col("fan_in"))).withColumn("traffic", costs.traffic(n * 100, F.col("passes")))
     return t.select("fan_in", "passes", "traffic", *(F.round(costs.milliseconds(F.col("traffic"), x / 100), 6).alias(f"ms{x}") for x in (80, 60, 40)))

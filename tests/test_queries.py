@@ -2,6 +2,9 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from sortwright.plans import queries
@@ -33,3 +36,14 @@ def test_query_matches_sql(spark, duck, name):
     rows = [sorted((tuple(map(cell, r)) for r in d[sorted(d.columns)].itertuples(index=False)), key=repr) for d in (ours, truth)]
     assert rows[0] == rows[1]
     assert math.isfinite(len(rows[0]))
+
+
+@pytest.mark.parametrize("name", ["fan_in_tradeoff"])
+def test_bytes_of_many_rows_are_longs(spark, tmp_path, name):
+    """36 million rows: their bytes don't fit into an int."""
+    pq.write_table(pa.table({"l_orderkey": np.zeros(36_000_000, np.int8)}), tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    ours = queries.queries()[name](spark, str(tmp_path)).orderBy("fan_in")
+    truth = con.execute(queries.oracle_sql()[name]).df().sort_values("fan_in")
+    assert [tuple(map(cell, r)) for r in ours.collect()] == [tuple(map(cell, r)) for r in truth[ours.columns].itertuples(index=False)]
