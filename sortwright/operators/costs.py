@@ -31,8 +31,8 @@ def milliseconds(n_bytes: Column, share: float, peak: float = PEAK) -> Column:
 
 def merge_sort_ms(n: Column, record: Column, run_rows: int, fan_in: Column, run_gen_gbps: float, merge_gbps: float) -> Column:
     """Run generation reads the data once at its rate; each pass reads and
-    writes it at the merge's."""
-    gb = n * record / 1e9
+    writes it at the merge's. Bytes are a long, even if ``n`` and ``record`` are ints."""
+    gb = n.cast("bigint") * record / 1e9
     return gb / (run_gen_gbps / 1e3) + traffic(gb, passes(runs(n, run_rows), fan_in)) / (merge_gbps / 1e3)
 
 

@@ -38,7 +38,7 @@ def test_query_matches_sql(spark, duck, name):
     assert math.isfinite(len(rows[0]))
 
 
-@pytest.mark.parametrize("name", ["fan_in_tradeoff"])
+@pytest.mark.parametrize("name", ["fan_in_tradeoff", "merge_sort_model"])
 def test_bytes_of_many_rows_are_longs(spark, tmp_path, name):
     """36 million rows: their bytes don't fit into an int."""
     pq.write_table(pa.table({"l_orderkey": np.zeros(36_000_000, np.int8)}), tmp_path / "lineitem.parquet")
