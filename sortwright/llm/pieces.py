@@ -3,11 +3,11 @@
 A text is escaped (a leading space is added, spaces become U+2581) and cut
 wherever two neighbouring characters never stand side by side in any piece: no
 piece crosses such a cut, so the lattice of pieces factors there exactly. For
-each distinct unit of a slice (found by a hash, confirmed by its characters) the
+each distinct unit of a window (found by a hash, confirmed by its characters) the
 forward filter computes the log mass of every
-prefix, all units at once in numpy; units of more than ``LONG`` characters go one by
-one, with their pieces found by blocks and only those kept, so time and memory grow
-with their length. Backward sampling then walks every occurrence
+prefix, many units at once in numpy; units of more than ``LONG`` characters go one by
+one and by blocks: only the prefixes' masses are kept, and the walk back finds each
+block's pieces again. Backward sampling then walks every occurrence
 from its end: the last piece is drawn in proportion to (mass of the prefix before
 it) x (its probability). The random numbers are a hash of (seed, row key,
 occurrence, step), so a row gets the same segmentation wherever and however
@@ -19,17 +19,19 @@ A character that no piece covers is spelled in byte pieces, and so is U+2581
 itself, which is why decoding returns the very text.
 
 Defined cases: null text has null ids; empty text has none; a null row key counts
-as key 0; a unit may be as long as its text (about 60 bytes of memory a character);
+as key 0; a unit may be as long as its text (memory: see ``WINDOW``);
 result columns get underscores where the frame has one of their name.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,11 @@ SPACE, RAW = "\u2581", "\ud800"
 BASE, GOLD = U(0x100000001B3), U(0x9E3779B97F4A7C15)
 #: Units of more characters are treated one by one.
 LONG = 64
+#: At most so many characters (one unit at least) and units are treated at once, so
+#: a text of any length needs memory for one window, its characters and its ids.
+WINDOW, UNITS = 1 << 20, 1 << 18
+#: Characters that helper arrays cover at once, and rows of the tables of ``forward``.
+BLOCK, ROWS = 1 << 15, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -56,37 +63,14 @@ class PieceConfig:
     slice_bytes: int = 1 << 20
 
 
-@dataclass
-class LongUnit:
-    """A long unit's pieces by their last position: from ``ptr[i]`` to
-    ``ptr[i + 1]`` those that end with character i, with cumulated masses."""
-
-    ptr: np.ndarray
-    size: np.ndarray
-    cum: np.ndarray
-    ids: np.ndarray
-
-    def walk(self, draws: Iterator[float]) -> tuple[list[int], list[int]]:
-        """Sampled pieces, last first, and where they begin."""
-        ids, begin, at = [], [], len(self.ptr) - 1
-        while at:
-            lo, hi = int(self.ptr[at - 1]), int(self.ptr[at])
-            mine = self.cum[lo:hi].tolist()
-            k = lo + min(bisect_right(mine, next(draws) * mine[-1]), hi - lo - 1)
-            at -= int(self.size[k])
-            ids.append(int(self.ids[k]))
-            begin.append(at)
-        return ids, begin
-
-
 def _draw(state: np.ndarray, step: int | np.ndarray) -> np.ndarray:
     """Numbers in [0, 1) of 24 bits."""
     return (mix64(state + U(0xD1342543DE82EF95) * np.asarray(step, U)) >> U(40)).astype(np.float32) / np.float32(1 << 24)
 
 
-def _draws(state: int) -> Iterator[float]:
-    """The draws of one occurrence, made in blocks."""
-    step, block = 0, 64
+def _draws(state: int, step: int) -> Iterator[float]:
+    """The draws of one occurrence from ``step`` on, made in blocks."""
+    block = 64
     while True:
         yield from _draw(np.full(block, state, U), np.arange(step, step + block)).tolist()
         step, block = step + block, min(4 * block, 1 << 14)
@@ -216,122 +200,176 @@ class Lattice:
             cum[lo : lo + k, :w] = x.T
         return place, start, cum, piece
 
-    def long_forward(self, code: np.ndarray, block: int = 1 << 15) -> LongUnit:
-        """The same for one long unit: its pieces by blocks of positions, then
-        the prefixes' masses one after the other over the pieces there are."""
-        n, found = len(code), []
-        power = [U(pow(int(BASE), k, 1 << 64)) for k in range(self.longest)]
-        for lo in range(0, n, block):
-            hi = min(n, lo + block)
-            h = np.zeros(hi - lo, U)
-            for m in range(1, min(self.longest, hi) + 1):
-                skip = max(0, m - 1 - lo)  # positions with fewer than m characters before them
-                h[skip:] += (code[lo + skip - m + 1 : hi - m + 1] + U(1)) * power[m - 1]
-                at, p = self.find(h[skip:])
-                at += skip
-                found.append((lo + at, np.full(len(at), m), self.logp[p], self.ids[p]))
-                if m == 1:
-                    alone = np.setdiff1d(np.arange(hi - lo), at)
-                    c = code[lo + alone].astype(np.int64)
-                    c[c == ord(RAW)] = ord(SPACE)
-                    found.append((lo + alone, np.ones(len(alone), np.int64), self.unseen * (1.0 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)), np.full(len(alone), -2)))
+    def _ending(self, code: np.ndarray, lo: int, hi: int) -> tuple[list[int], list[int], list[float], list[int]]:
+        """Of one long unit: from ``ptr[i]`` to ``ptr[i + 1]`` the pieces that end
+        with character ``lo + i``, as sizes, log probabilities and ids."""
+        found, h = [], np.zeros(hi - lo, U)
+        for m in range(1, min(self.longest, hi) + 1):
+            skip = max(0, m - 1 - lo)  # positions with fewer than m characters before them
+            h[skip:] += (code[lo + skip - m + 1 : hi - m + 1] + U(1)) * U(pow(int(BASE), m - 1, 1 << 64))
+            at, p = self.find(h[skip:])
+            at += skip
+            found.append((at, np.full(len(at), m), self.logp[p], self.ids[p]))
+            if m == 1:
+                alone = np.setdiff1d(np.arange(hi - lo), at)
+                c = code[lo + alone].astype(np.int64)
+                c[c == ord(RAW)] = ord(SPACE)
+                found.append((alone, np.ones(len(alone), np.int64), self.unseen * (1.0 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)), np.full(len(alone), -2)))
         end = np.concatenate([f[0] for f in found])
         order = np.argsort(end, kind="stable")
-        size, logp, ids = (np.concatenate([f[k] for f in found])[order] for k in (1, 2, 3))
-        ptr = np.concatenate(([0], np.cumsum(np.bincount(end, minlength=n))))
-        alpha, cum = [0.0] * (n + 1), np.empty(len(logp))
-        for lo in range(0, n, block):
-            hi = min(n, lo + block)
-            cut = ptr[lo : hi + 1].tolist()
-            sizes, masses = size[cut[0] : cut[-1]].tolist(), logp[cut[0] : cut[-1]].tolist()
-            shares: list[float] = []
+        ptr = np.concatenate(([0], np.cumsum(np.bincount(end, minlength=hi - lo))))
+        return ptr.tolist(), *(np.concatenate([f[k] for f in found])[order].tolist() for k in (1, 2, 3))
+
+    def long_walks(self, code: np.ndarray, states: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each occurrence (by its state) of one long unit the sampled pieces,
+        last first, and where they begin. All occurrences walk back through a block
+        before the one before it."""
+        n, alpha = len(code), np.zeros(len(code) + 1)
+        for lo in range(0, n, BLOCK):
+            hi, low = min(n, lo + BLOCK), max(0, lo + 1 - self.longest)
+            ptr, size, logp, names = self._ending(code, lo, hi)
+            mass = alpha[low : lo + 1].tolist()
             for i in range(lo, hi):
-                a, b = cut[i - lo] - cut[0], cut[i - lo + 1] - cut[0]
-                x = [alpha[i + 1 - sizes[k]] + masses[k] for k in range(a, b)]
+                x = [mass[i + 1 - low - size[k]] + logp[k] for k in range(ptr[i - lo], ptr[i - lo + 1])]
                 top, total = max(x), 0.0
                 for v in x:
                     total += math.exp(v - top)
-                    shares.append(total)
-                alpha[i + 1] = top + math.log(total)
-            cum[cut[0] : cut[-1]] = shares
-        return LongUnit(ptr, size.astype(np.int32), cum, ids.astype(np.int32))
+                mass.append(top + math.log(total))
+            alpha[lo + 1 : hi + 1] = mass[lo + 1 - low :]
+        ids, begin, at = [array("i") for _ in states], [array("i") for _ in states], [n] * len(states)
+        for lo in reversed(range(0, n, BLOCK)):
+            low = max(0, lo + 1 - self.longest)
+            if lo + BLOCK < n:  # the last block's pieces are at hand
+                ptr, size, logp, names = self._ending(code, lo, lo + BLOCK)
+                mass = alpha[low : lo + BLOCK + 1].tolist()
+            shares: dict[int, list[float]] = {}  # of the positions that a walk comes by
+            for o, state in enumerate(states):
+                here, draws = at[o], _draws(state, len(ids[o]))
+                while here > lo:
+                    a, b = ptr[here - 1 - lo], ptr[here - lo]
+                    if here not in shares:
+                        x = [mass[here - low - size[k]] + logp[k] for k in range(a, b)]
+                        top = max(x)
+                        shares[here] = list(accumulate([math.exp(v - top) for v in x]))
+                    mine = shares[here]
+                    k = a + min(bisect_right(mine, next(draws) * mine[-1]), b - a - 1)
+                    here -= size[k]
+                    ids[o].append(names[k])
+                    begin[o].append(here)
+                at[o] = here
+        return [(np.frombuffer(i, np.int32), np.frombuffer(b, np.int32)) for i, b in zip(ids, begin)]
 
     def sample(self, texts: list[str], keys: np.ndarray, seed: int) -> list[np.ndarray]:
         """Ids of each (non-empty) text."""
         marked = [SPACE + t.replace(SPACE, RAW).replace(" ", SPACE) for t in texts]
-        code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
         ends = np.cumsum([len(t) for t in marked])
+        code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+        del marked
         cut = np.ones(len(code), bool)
-        cut[1:] = ~self.pairs[self._pair(code)]
+        for lo in range(1, len(code), BLOCK):
+            cut[lo : lo + BLOCK] = ~self.pairs[self._pair(code[lo - 1 : lo + BLOCK])]
         cut[ends[:-1]] = True
-        first = np.flatnonzero(cut)
-        n = np.diff(np.append(first, len(code)))
+        first = np.append(np.flatnonzero(cut), len(code))
+        del cut
+        before = np.searchsorted(first, np.append(0, ends[:-1]))  # units before each text
+        own = mix64(keys.astype(np.int64).view(U) ^ mix64(np.array([seed], U)))
+        sizes, parts, a = np.zeros(len(texts), np.int64), [], 0
+        while a < len(first) - 1:
+            b = max(a + 1, min(a + UNITS, int(np.searchsorted(first, first[a] + WINDOW, "right")) - 1))
+            row = np.searchsorted(ends, first[a:b], "right")
+            state = mix64(own[row] + (np.arange(a, b) - before[row]).astype(U) * GOLD)
+            ids, per = self._window(code[first[a] : first[b]], first[a:b] - first[a], np.diff(first[a : b + 1]), state)
+            np.add.at(sizes, row, per)
+            parts.append(ids)
+            a = b
+        return np.split(np.concatenate(parts), np.cumsum(sizes)[:-1])
+
+    def _window(self, code: np.ndarray, first: np.ndarray, n: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units ``code[first : first + n]``, one unit after the other,
+        and how many each has. ``state`` makes each unit's draws."""
         one, of = self._distinct(code, first, n)
-        short = n[one] <= LONG
-        place = np.zeros(len(one), np.int64)
-        if short.any():
-            place[short], start, cum, piece = self.forward(code, first[one[short]], n[one[short]])
-        row = np.searchsorted(ends, first, "right")
-        per = np.bincount(row, minlength=len(texts))
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
-        state = mix64(mix64(keys.astype(np.int64).view(U) ^ mix64(np.array([seed], U)))[row] + nth.astype(U) * GOLD)
-        where, at = place[of], n.copy()
-        live = np.flatnonzero(short[of])
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while len(live):
-            r = start[at[live]] + where[live]
-            k = (cum[r] > _draw(state[live], len(got))[:, None]).argmax(axis=1)
-            at[live] -= k + 1
-            got.append((live, piece[r, k], at[live]))
-            live = live[at[live] > 0]
-        walks, held = [], {}
-        for o in np.flatnonzero(~short[of])[np.argsort(of[~short[of]], kind="stable")].tolist():
-            if int(of[o]) not in held:  # one long unit at a time
-                held = {int(of[o]): self.long_forward(code[first[o] : first[o] + n[o]])}
-            walks.append((o, *held[int(of[o])].walk(_draws(int(state[o])))))
-        # occurrence o took steps[o] steps from its end; its first piece was drawn last
+        long = n[one] > LONG
+        group = np.where(long, -1, (np.cumsum(np.where(long, 0, n[one])) - 1) // ROWS)
+        # occurrence o takes steps[o] steps from its end; its first piece is drawn last
         steps = np.zeros(len(of), np.int64)
-        for o, _, _ in got:
-            steps[o] += 1
-        for o, i, _ in walks:
-            steps[o] = len(i)
+        got: list[tuple[int | np.ndarray, np.ndarray | int, np.ndarray, np.ndarray]] = []
+        for g in range(int(group.max()) + 1):
+            mine = np.flatnonzero(group == g)
+            if not len(mine):
+                continue
+            place = np.zeros(len(one), np.int64)
+            place[mine], start, cum, piece = self.forward(code, first[one[mine]], n[one[mine]])
+            live, step = np.flatnonzero(group[of] == g), 0
+            where, at = place[of[live]], n[live]
+            while len(live):
+                r = start[at] + where
+                k = (cum[r] > _draw(state[live], step)[:, None]).argmax(axis=1)
+                at = at - (k + 1)
+                got.append((step, live, piece[r, k], at.astype(np.int32)))
+                steps[live] += 1
+                more, step = at > 0, step + 1
+                live, where, at = live[more], where[more], at[more]
+            del cum, piece
+        odd = np.flatnonzero(long[of])
+        odd = odd[np.argsort(of[odd], kind="stable")]
+        for same in np.split(odd, np.flatnonzero(np.diff(of[odd])) + 1):
+            if len(same):  # one long unit at a time
+                walks = self.long_walks(code[first[same[0]] : first[same[0]] + n[same[0]]], state[same].tolist())
+                for o, (i, b) in zip(same.tolist(), walks):
+                    steps[o] = len(i)
+                    got.append((np.arange(len(i), dtype=np.int32), o, i, b))
         last = np.cumsum(steps)
-        ids, begin = np.empty(int(last[-1]), np.int32), np.empty(int(last[-1]), np.int64)
-        for s, (o, i, b) in enumerate(got):
-            ids[last[o] - 1 - s] = i
-            begin[last[o] - 1 - s] = b
-        for o, i, b in walks:
-            ids[last[o] - len(i) : last[o]] = i[::-1]
-            begin[last[o] - len(i) : last[o]] = b[::-1]
-        owner = np.repeat(row, steps)
+        ids, begin = np.empty(int(last[-1]), np.int32), np.empty(int(last[-1]), np.int32)
+        while got:
+            s, o, i, b = got.pop()
+            at = last[o] - 1 - s
+            ids[at], begin[at] = i, b
         raw = np.flatnonzero(ids == -2)
-        if len(raw):
-            from_char = np.repeat(first, steps) + begin
-            spelled = {}
-            count = np.ones(len(ids), np.int64)
-            for i in raw.tolist():
-                c = chr(int(code[from_char[i]]))
-                spelled[i] = self.byte_id[list((SPACE if c == RAW else c).encode("utf-8", "surrogatepass"))]
-                count[i] = len(spelled[i])
-            to = np.cumsum(count) - count
-            out = np.empty(int(count.sum()), np.int32)
-            out[to] = ids
-            for i, x in spelled.items():
-                out[to[i] : to[i] + len(x)] = x
-            ids, owner = out, np.repeat(owner, count)
-        return np.split(ids, np.searchsorted(owner, np.arange(1, len(texts))))
+        if not len(raw):
+            return ids, steps
+        unit = np.searchsorted(last, raw, "right")
+        chars, which = np.unique(code[first[unit] + begin[raw]], return_inverse=True)
+        spelled = [(SPACE if c == RAW else c).encode("utf-8", "surrogatepass") for c in map(chr, chars.tolist())]
+        extra = np.array([len(x) for x in spelled])[which]
+        table = self.byte_id[np.array([[*x.ljust(4, b"\0")] for x in spelled])]
+        count = np.ones(len(ids), np.int64)
+        count[raw] = extra
+        to = np.cumsum(count) - count
+        out = np.empty(int(to[-1] + count[-1]), np.int32)
+        out[to] = ids
+        for j in range(4):
+            sel = np.flatnonzero(extra > j)
+            out[to[raw[sel]] + j] = table[which[sel], j]
+        np.add.at(steps, unit, extra - 1)
+        return out, steps
 
     @staticmethod
-    def _distinct(code: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _blocks(first: np.ndarray, size: int) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of characters: their slice, the slice of the units that they
+        belong to, where these begin in the block, how many characters of it each has,
+        and how far each character is into its unit."""
+        for lo in range(0, size, BLOCK):
+            hi = min(size, lo + BLOCK)
+            units = slice(int(np.searchsorted(first, lo, "right")) - 1, int(np.searchsorted(first, hi)))
+            begin = np.maximum(first[units], lo) - lo
+            per = np.diff(np.append(begin, hi - lo))
+            yield slice(lo, hi), units, begin, per, np.arange(lo, hi) - np.repeat(first[units], per)
+
+    @classmethod
+    def _distinct(cls, code: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct units (by number) and which of them each unit is. Equal
         hashes are confirmed character by character; a unit that only shares
         another's hash is distinct."""
-        rel = np.arange(len(code)) - np.repeat(first, n)
-        h = np.add.reduceat(mix64(code + rel.astype(U) * GOLD), first) + n.astype(U)
+        h = n.astype(U)
+        for chars, units, begin, _, rel in cls._blocks(first, len(code)):
+            h[units] += np.add.reduceat(mix64(code[chars] + rel.astype(U) * GOLD), begin)
         _, one, of = np.unique(h, return_index=True, return_inverse=True)
+        del h
         same = n[one][of] == n
-        source = np.repeat(first[one][of], n) + rel
-        same &= np.logical_and.reduceat(code[np.minimum(source, len(code) - 1)] == code, first)
+        origin = first[one][of]
+        for chars, units, begin, per, rel in cls._blocks(first, len(code)):
+            source = np.minimum(np.repeat(origin[units], per) + rel, len(code) - 1)
+            same[units] &= np.logical_and.reduceat(code[source] == code[chars], begin)
         odd = np.flatnonzero(~same)
         of[odd] = len(one) + np.arange(len(odd))
         return np.concatenate((one, odd)), of

@@ -337,6 +337,35 @@ def test_long_units_are_sampled_as_short_ones(monkeypatch):
     assert sum((usual & got).values()) >= 3990
 
 
+@pytest.mark.parametrize("kind, n, most", [("one long unit", 300_000, 110), ("bytes", 600_000, 190)])
+def test_pieces_of_a_long_text_take_little_memory(kind, n, most):
+    import tracemalloc
+
+    r = random.Random(1)
+    text = "".join(r.choices("etaoinshr", k=n)) if kind == "one long unit" else "".join(map(chr, r.choices(range(0x1F300, 0x1F9FF), k=n)))
+    lat = pieces.lattice(pieces.default_config())
+    tracemalloc.start()
+    (ids,) = lat.sample([text], np.zeros(1, np.int64), 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lat.decode(ids.tolist()) == text
+    assert peak < most * n
+
+
+def test_pieces_are_the_same_by_windows_of_any_size(monkeypatch):
+    lat, r = pieces.lattice(pieces.default_config()), random.Random(5)
+    parts = ["e", "t▁", "the ", "in", " ", "é", "中", "😀", "internationalisation"]
+    texts = ["".join(r.choices([*parts, "".join(r.choices("etaoinshr", k=r.randint(60, 300)))], k=r.randint(1, 80))) for _ in range(60)] + ["ab" * 500] * 2
+    keys = np.arange(len(texts))
+    usual = lat.sample(texts, keys, 3)
+    for window, units, block, rows in ((1, 1, 7, 1), (500, 40, 64, 90), (1 << 20, 1 << 18, 33, 1000)):
+        for name, x in (("WINDOW", window), ("UNITS", units), ("BLOCK", block), ("ROWS", rows)):
+            monkeypatch.setattr(pieces, name, x)
+        got = lat.sample(texts, keys, 3)
+        assert [x.tolist() for x in got] == [x.tolist() for x in usual]
+        assert [lat.decode(x.tolist()) for x in got] == texts
+
+
 def test_pieces_query_returns_ids_and_text(spark, docs):
     from sortwright.llm import queries
 
