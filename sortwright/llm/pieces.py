@@ -289,7 +289,9 @@ class Lattice:
         and how many each has. ``state`` makes each unit's draws."""
         one, of = self._distinct(code, first, n)
         long = n[one] > LONG
-        group = np.where(long, -1, (np.cumsum(np.where(long, 0, n[one])) - 1) // ROWS)
+        group = np.full(len(one), -1)
+        by_size = np.argsort(-n[one], kind="stable")[int(long.sum()) :]  # so that only the first groups have many steps
+        group[by_size] = (np.cumsum(n[one[by_size]]) - 1) // ROWS
         # occurrence o takes steps[o] steps from its end; its first piece is drawn last
         steps = np.zeros(len(of), np.int64)
         got: list[tuple[int | np.ndarray, np.ndarray | int, np.ndarray, np.ndarray]] = []
